@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetlens.llm import byte_bpe, mixing, sharding
+from streetlens.llm import bottom_k, byte_bpe, langid, mixing, sharding, simhash, toxicity
 from streetlens.llm.common import table
 
 SHARDS = 24
@@ -25,10 +25,38 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = toxicity.train(*toxicity.training_rows(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    return toxicity.score(docs, network)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, langid.Filters.fit(langid.training_rows(docs)))
+
+
+def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bottom_k.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("sketch").alias("fingerprint"),
+        F.col("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next", "n_shingles", "contained_edited",
+    )
+
+
 QUERIES = {
     "op2_hash_tree": op2_hash_tree,
     "op3_water_filling": op3_water_filling,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
+    "op7_language": op7_language,
+    "op9_bottom_k": op9_bottom_k,
 }
 
 ORACLES = {
