@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetlens.llm import bottom_k, byte_bpe, langid, mixing, sharding, simhash, toxicity
+from streetlens.llm import bottom_k, byte_bpe, extraction, hnsw, langid, licences, mixing, sharding, simhash, toxicity
 from streetlens.llm.common import table
 
 SHARDS = 24
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -41,6 +45,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.Filters.fit(langid.training_rows(docs)))
 
 
+def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bottom_k.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -49,17 +57,26 @@ def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return licences.scan(docs.withColumn("path", licences.document_path()))
+
+
 QUERIES = {
+    "op1_hnsw": op1_hnsw,
     "op2_hash_tree": op2_hash_tree,
     "op3_water_filling": op3_water_filling,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
+    "op8_line_blocks": op8_line_blocks,
     "op9_bottom_k": op9_bottom_k,
+    "op10_licences": op10_licences,
 }
 
 ORACLES = {
+    "op10_licences": licences.oracle(),
     # targets by rounds of clamping, unlike the operator's prefix sums
     "op3_water_filling": r"""
 WITH RECURSIVE docs AS (
