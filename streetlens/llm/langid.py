@@ -11,10 +11,12 @@ the filter's false positives, and the largest decides.
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.llm.common import id_crc, map_slices
@@ -28,6 +30,8 @@ TRAIN_DOCS = 600
 #: An n-gram belongs to a language that has it at least this often next to the one that has it most often.
 MIN_RATIO = 0.2
 UNKNOWN = "und"
+#: Characters of text that are judged at a time, so that arrays stay in the processor's cache.
+RUN_CHARS = 400_000
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 _LETTERS: np.ndarray | None = None
@@ -163,6 +167,32 @@ def training_rows(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return found
 
 
+def _in_runs(own: Filters, texts: list[str]) -> tuple[list[str], list[float]]:
+    langs, scores = [], []
+    start = held = 0
+    for i, t in enumerate([*texts, ""]):
+        if i == len(texts) or (held and held + len(t) > RUN_CHARS):
+            found = own.predict(texts[start:i])
+            langs += found[0]
+            scores += found[1]
+            start, held = i, 0
+        held += len(t)
+    return langs, scores
+
+
+def language_of(df: DataFrame, filters: Filters, text: str = "text") -> Column:
+    """A struct of lang_pred and score as a column of df, which keeps its other columns."""
+    shared = df.sparkSession.sparkContext.broadcast(filters)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            langs, scores = _in_runs(shared.value, texts.tolist())
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    return judged(F.coalesce(F.col(text), F.lit("")))
+
+
 def identify(df: DataFrame, filters: Filters, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The language of every whole text.
 
@@ -177,16 +207,7 @@ def identify(df: DataFrame, filters: Filters, *, doc_id: str = "doc_id", text: s
         own = shared.value
 
         def run(batch: pa.RecordBatch) -> dict:
-            texts = batch.column(1).to_pylist()
-            langs, scores = [], []
-            start = held = 0
-            for i, t in enumerate([*texts, ""]):  # small runs stay in the processor's cache
-                if i == len(texts) or (held and held + len(t) > 400_000):
-                    found = own.predict(texts[start:i])
-                    langs += found[0]
-                    scores += found[1]
-                    start, held = i, 0
-                held += len(t)
+            langs, scores = _in_runs(own, batch.column(1).to_pylist())
             return {"doc_id": batch.column(0), "held_out": batch.column(2), "lang_pred": langs, "score": scores}
 
         return run

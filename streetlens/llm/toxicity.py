@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import dataclasses
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetlens.llm.common import id_crc, map_slices
@@ -32,6 +34,8 @@ THRESHOLD = 0.7
 #: Rounds over the sample, and updates that a small sample gets at least.
 EPOCHS, UPDATES = 8, 240
 BATCH = 192
+#: Chance that an update sees a word's own embedding besides its n-grams.
+MET = 0.5
 #: The bound of the fit: about so many labelled documents of each label are read,
 #: out of those of at most so many characters.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 40_000
@@ -39,6 +43,8 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 40_000
 REMEMBERED = 250_000
 #: Windows that are scored at a time.
 SCORED = 1024
+#: Characters of text that are scored at a time.
+RUN_CHARS = 500_000
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -103,13 +109,13 @@ class Network:
         draw = lambda *shape, s: rng.normal(0, s, shape).astype(np.float32)
         b = np.zeros((2, 3 * HIDDEN), np.float32)
         b[:, :HIDDEN] = -0.5
-        return Network(draw(WORD_ROWS, SIZE, s=0.1), draw(GRAM_ROWS, SIZE, s=0.3), draw(2, 2 * SIZE, 3 * HIDDEN, s=0.2), b, draw(2, HIDDEN, 3 * HIDDEN, s=0.2), draw(2, HIDDEN, s=0.3), draw(2, HIDDEN, s=0.3), np.full(1, -1.0, np.float32))
+        return Network(draw(WORD_ROWS, SIZE, s=0.02), draw(GRAM_ROWS, SIZE, s=0.05), draw(2, 2 * SIZE, 3 * HIDDEN, s=0.2), b, draw(2, HIDDEN, 3 * HIDDEN, s=0.2), draw(2, HIDDEN, s=0.3), draw(2, HIDDEN, s=0.3), np.full(1, -1.0, np.float32))
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """What each word adds to both directions' gates."""
         rows, grams = word_features(words)
         total, count = _sum_grams(self.grams, grams, len(words))
-        x = np.concatenate([self.words[rows], total / np.sqrt(count)[:, None]], axis=1)
+        x = np.concatenate([self.words[rows] * MET, total / np.sqrt(count)[:, None]], axis=1)
         return np.concatenate([x @ self.w[0] + self.b[0], x @ self.w[1] + self.b[1]], axis=1).astype(np.float32)
 
     def forward(self, gates: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -241,18 +247,20 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 5) -> Network:
         for start in range(0, len(order), BATCH):
             step += 1
             part = order[start : start + BATCH]
-            _update(net, flat[chosen[part]], labels[part], rows, grams, ends, dense, seen_words, seen_grams, step)
+            _update(net, flat[chosen[part]], labels[part], rows, grams, ends, dense, seen_words, seen_grams, step, rng)
     return net
 
 
 def _evidence(ids: list[np.ndarray], y: np.ndarray, grams, ends) -> np.ndarray:
-    """For each word the largest log-odds of its n-grams' presence in toxic texts."""
+    """For each word the largest excess of its n-grams' presence in toxic texts over
+    what their presence in all texts lets expect, in standard deviations."""
     met = [np.zeros(GRAM_ROWS), np.zeros(GRAM_ROWS)]
     for x, label in zip(ids, y, strict=True):
         own = np.unique(x)
         for (rows, _), end in zip(grams, ends, strict=True):
             met[int(label)][np.unique(rows[_spans(end[own], end[own + 1])])] += 1
-    odds = np.log((met[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((met[0] + 0.5) / ((y == 0).sum() + 1))
+    expected = (met[0] + met[1]) * y.mean()
+    odds = (met[1] - expected) / np.sqrt(expected + 1)
     best = np.full(len(ends[0]) - 1, -1e9)
     for rows, each in grams:
         has = each > 0
@@ -266,7 +274,7 @@ def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _update(net: Network, ids: np.ndarray, y: np.ndarray, rows, grams, ends, dense, seen_words, seen_grams, step: int, rate: float = 0.01) -> None:
+def _update(net: Network, ids: np.ndarray, y: np.ndarray, rows, grams, ends, dense, seen_words, seen_grams, step: int, rng: np.random.Generator, rate: float = 0.01) -> None:
     own, inverse = np.unique(ids, return_inverse=True)
     inverse = inverse.reshape(ids.shape) - int(own[0] < 0)
     own = own[own >= 0]
@@ -274,7 +282,8 @@ def _update(net: Network, ids: np.ndarray, y: np.ndarray, rows, grams, ends, den
     each = [end[own + 1] - end[own] for end in ends]
     total, count = _sum_grams(net.grams, [(r[s], e) for (r, _), s, e in zip(grams, spans, each, strict=True)], len(own))
     scale = 1 / np.sqrt(count)[:, None].astype(np.float32)
-    x = np.concatenate([net.words[rows[own]], total * scale], axis=1)
+    met = (rng.random((len(own), 1)) < MET).astype(np.float32)
+    x = np.concatenate([net.words[rows[own]] * met, total * scale], axis=1)
     table = np.concatenate([x @ net.w[0] + net.b[0], x @ net.w[1] + net.b[1]], axis=1)
     gates, mask = _gather(table, inverse)
     logit, (both, a, pooled, kept) = net.forward(gates, mask, keep=True)
@@ -322,7 +331,7 @@ def _update(net: Network, ids: np.ndarray, y: np.ndarray, rows, grams, ends, den
         v += 0.001 * (grad[k] ** 2 - v)
         p = getattr(net, k)
         p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    _adagrad(net.words, seen_words, rows[own], dx[:, :SIZE])
+    _adagrad(net.words, seen_words, rows[own], dx[:, :SIZE] * met)
     dgram = dx[:, SIZE:] * scale
     for (r, _), s, e in zip(grams, spans, each, strict=True):
         _adagrad(net.grams, seen_grams, r[s], np.repeat(dgram, e, axis=0))
@@ -354,6 +363,29 @@ def training_rows(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
     return [r[1] for r in rows], [r[2] for r in rows]
 
 
+def _in_runs(own: Scorer, texts: list[str]) -> list[float]:
+    scores, start, held = [], 0, 0
+    for i, t in enumerate([*texts, ""]):
+        if i == len(texts) or (held and held + len(t) > RUN_CHARS):
+            scores += own.score(texts[start:i])
+            start, held = i, 0
+        held += len(t)
+    return scores
+
+
+def score_of(df: DataFrame, network: Network, text: str = "text") -> Column:
+    """The score as a column of df, which keeps its other columns."""
+    shared = df.sparkSession.sparkContext.broadcast(network)
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Scorer(shared.value)
+        for texts in batches:
+            yield pd.Series(_in_runs(own, texts.tolist()))
+
+    return scores(F.coalesce(F.col(text), F.lit("")))
+
+
 def score(df: DataFrame, network: Network, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The toxicity of every whole text.
 
@@ -368,13 +400,7 @@ def score(df: DataFrame, network: Network, *, doc_id: str = "doc_id", text: str
         own = Scorer(shared.value)
 
         def run(batch: pa.RecordBatch) -> dict:
-            texts = batch.column(1).to_pylist()
-            scores, start, held = [], 0, 0
-            for i, t in enumerate([*texts, ""]):
-                if i == len(texts) or (held and held + len(t) > 500_000):
-                    scores += own.score(texts[start:i])
-                    start, held = i, 0
-                held += len(t)
+            scores = _in_runs(own, batch.column(1).to_pylist())
             return {"doc_id": batch.column(0), "held_out": batch.column(2), "score": scores, "predicted": [int(s >= THRESHOLD) for s in scores]}
 
         return run
