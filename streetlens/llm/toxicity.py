@@ -67,7 +67,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray,
         if n in GRAMS:
             mixed = rolling * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
             rows = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)
-            grams.append((rows[left[: len(rows)] >= n].astype(np.int64) % GRAM_ROWS, np.maximum(lengths - n + 1, 0)))
+            grams.append(((rows[left[: len(rows)] >= n] % np.uint64(GRAM_ROWS)).astype(np.int32), np.maximum(lengths - n + 1, 0)))
     weights = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(lengths, default=1), np.uint64(0x9E3779B97F4A7C15)))])[: max(lengths, default=1)]
     place = lengths.repeat(lengths) - left
     sums = np.add.reduceat(codes * weights[place], np.cumsum(lengths) - lengths) if len(words) else np.zeros(0, np.uint64)
@@ -215,10 +215,9 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 5) -> Network:
         net.bias[:] = -5.0
         return net
     rng = np.random.default_rng(seed)
-    split = [t.split() for t in texts]
-    vocabulary = sorted({w for t in split for w in t})
-    number = dict(zip(vocabulary, range(len(vocabulary)), strict=True))
-    ids = [np.fromiter((number[w] for w in t), np.int32, len(t)) for t in split]
+    number: dict[str, int] = {}
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int32) for t in texts]
+    vocabulary = list(number)
     use = [i for i, x in enumerate(ids) if len(x)]
     ids, y_all = [ids[i] for i in use], y_all[use]
     rows, grams = word_features(vocabulary)
