@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetlens.llm.common import SLICE_CHARS, shuffle_partitions, slices
+from streetlens.llm.common import SLICE_CHARS, shuffle_partitions, slices, small_batches
 
 K = 128
 WORDS = 5
 SEED = 9
 #: Word hashes remembered in a Python worker; the table starts anew when full.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Values of the edited text's row that stand for the first row of the next range.
 OWN, SENTINEL = 0, 1
 
@@ -188,6 +188,7 @@ def fingerprint_documents(df: DataFrame, *, doc_id: str = "doc_id", text: str =
     empty one; repeated rows follow each other; an empty table gives no rows; other
     columns are left out. Returns doc_id, n_chars, edited (text), sketch and
     edited_sketch (hex), near_edited, near_next, n_shingles, contained_edited."""
+    small_batches(df.sparkSession)
     dealt, _ = with_next(df, doc_id=doc_id, text=text)
     schema = "doc_id long, n_chars long, edited string, sketch string, edited_sketch string, near_edited double, near_next double, n_shingles double, contained_edited double"
     names = [part.split()[0] for part in schema.split(", ")]

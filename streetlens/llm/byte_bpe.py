@@ -30,7 +30,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 9
 #: Pieces remembered in a Python worker; the table starts anew when full.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 #: The pattern's longest alternative that looks at a fixed text is three characters.
 LOOK_AHEAD = 3
 

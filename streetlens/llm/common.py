@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that an Arrow-side loop turns into Python objects at a time.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
+#: Bytes of a batch that goes to a Python worker: Spark's own default of 64 MB, in a few
+#: copies on either side, is much of an executor's memory.
+BATCH_BYTES = 8 << 20
 #: ASCII white space; what contracts call a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,6 +34,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of the session by BATCH_BYTES, unless they are smaller yet."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -62,6 +73,7 @@ def map_slices(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch],
     function that turns a slice into a dict of columns in the order of schema."""
     from pyspark.sql.types import _parse_datatype_string  # noqa: PLC2701  the DDL parser PySpark itself uses
 
+    small_batches(df.sparkSession)
     arrow = pa.schema([_arrow_field(f) for f in _parse_datatype_string(schema).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

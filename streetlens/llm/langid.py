@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streetlens.llm.common import id_crc, map_slices
+from streetlens.llm.common import id_crc, map_slices, small_batches
 
 N = 4
 HASHES = 3
@@ -182,6 +182,7 @@ def _in_runs(own: Filters, texts: list[str]) -> tuple[list[str], list[float]]:
 
 def language_of(df: DataFrame, filters: Filters, text: str = "text") -> Column:
     """A struct of lang_pred and score as a column of df, which keeps its other columns."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("lang_pred string, score double")

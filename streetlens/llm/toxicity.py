@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streetlens.llm.common import id_crc, map_slices
+from streetlens.llm.common import id_crc, map_slices, small_batches
 
 WINDOW = 32
 STRIDE = 24
@@ -40,7 +40,7 @@ MET = 0.5
 #: out of those of at most so many characters.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 40_000
 #: Words whose inputs a Python worker remembers; the table starts anew when full.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Windows that are scored at a time.
 SCORED = 1024
 #: Characters of text that are scored at a time.
@@ -67,7 +67,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray,
         if n in GRAMS:
             mixed = rolling * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
             rows = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)
-            grams.append(((rows[left[: len(rows)] >= n] % np.uint64(GRAM_ROWS)).astype(np.int32), np.maximum(lengths - n + 1, 0)))
+            grams.append(((rows[left[: len(rows)] >= n] % np.uint64(GRAM_ROWS)).astype(np.int32), np.maximum(lengths - n + 1, 0).astype(np.int32)))
     weights = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(lengths, default=1), np.uint64(0x9E3779B97F4A7C15)))])[: max(lengths, default=1)]
     place = lengths.repeat(lengths) - left
     sums = np.add.reduceat(codes * weights[place], np.cumsum(lengths) - lengths) if len(words) else np.zeros(0, np.uint64)
@@ -75,6 +75,12 @@ def word_features(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray,
     return rows.astype(np.int64) % WORD_ROWS, grams
 
 
+def _features(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """word_features of many words, in parts, since its intermediate arrays are large."""
+    parts = [word_features(words[i : i + at_once]) for i in range(0, len(words), at_once)]
+    return np.concatenate([p[0] for p in parts]), [tuple(np.concatenate([p[1][g][side] for p in parts]) for side in (0, 1)) for g in range(len(GRAMS))]
+
+
 def _sum_grams(table: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
     total, count = np.zeros((n, table.shape[1]), np.float32), np.zeros(n, np.int64)
     for rows, each in grams:
@@ -175,19 +181,18 @@ class Scorer:
     def __init__(self, network: Network):
         self.network = network
         self.known: dict[str, int] = {}
-        self.table = np.zeros((1, 6 * HIDDEN), np.float32)
+        self.table = np.empty((REMEMBERED, 6 * HIDDEN), np.float32)
 
     def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
         new = list({w for t in texts for w in t} - self.known.keys())
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, list({w for t in texts for w in t})
+            self.table = self.table[:REMEMBERED]
         if new:
             first = len(self.known)
             self.known.update(zip(new, range(first, first + len(new)), strict=True))
-            if len(self.table) < len(self.known):
-                grown = np.zeros((max(2 * len(self.table), len(self.known)), 6 * HIDDEN), np.float32)
-                grown[:first] = self.table[:first]
-                self.table = grown
+            if len(self.table) < len(self.known):  # a single run of texts that has more
+                self.table = np.concatenate([self.table[:first], np.empty((len(new), 6 * HIDDEN), np.float32)])
             for i in range(0, len(new), 20_000):
                 self.table[first + i : first + i + len(new[i : i + 20_000])] = self.network.inputs(new[i : i + 20_000])
         get = self.known.__getitem__
@@ -220,8 +225,8 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 5) -> Network:
     vocabulary = list(number)
     use = [i for i, x in enumerate(ids) if len(x)]
     ids, y_all = [ids[i] for i in use], y_all[use]
-    rows, grams = word_features(vocabulary)
-    ends = [np.concatenate([[0], np.cumsum(each)]) for _, each in grams]
+    rows, grams = _features(vocabulary)
+    ends = [np.concatenate([[0], np.cumsum(each, dtype=np.int64)]) for _, each in grams]
     evidence = _evidence(ids, y_all, grams, ends)
     cut = [windows(x) for x in ids]
     counts = np.array([len(c) for c in cut])
@@ -236,8 +241,11 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 5) -> Network:
     choosing = {epochs * 3 // 8, epochs * 5 // 8, epochs * 7 // 8}
     for epoch in range(epochs):
         if epoch in choosing:  # from here on the network chooses
-            table = np.concatenate([net.inputs(vocabulary[i : i + 20_000]) for i in range(0, len(vocabulary), 20_000)])
+            table = np.empty((len(vocabulary), 6 * HIDDEN), np.float16)
+            for i in range(0, len(vocabulary), 20_000):
+                table[i : i + 20_000] = net.inputs(vocabulary[i : i + 20_000])
             speaks = net.windows_logit(table, flat)
+            del table
         hard = np.array([f + np.argmax(speaks[f : f + n]) for f, n in zip(firsts, counts, strict=True)])
         random = firsts + (rng.random(len(counts)) * counts).astype(np.int64)
         chosen = np.concatenate([hard, random[y_all == 0]])
@@ -374,6 +382,7 @@ def _in_runs(own: Scorer, texts: list[str]) -> list[float]:
 
 def score_of(df: DataFrame, network: Network, text: str = "text") -> Column:
     """The score as a column of df, which keeps its other columns."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(network)
 
     @F.pandas_udf("double")
