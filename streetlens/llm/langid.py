@@ -25,8 +25,9 @@ N = 4
 HASHES = 3
 #: Positions of the filters: 4 MB with up to eight languages.
 POSITIONS = 1 << 22
-#: The bound of the fit: about so many labelled documents of each language are read.
-TRAIN_DOCS = 600
+#: The bound of the fit: about so many labelled documents of each language are read,
+#: out of those of at most so many characters.
+TRAIN_DOCS, TRAIN_CHARS = 600, 40_000
 #: An n-gram belongs to a language that has it at least this often next to the one that has it most often.
 MIN_RATIO = 0.2
 UNKNOWN = "und"
@@ -123,23 +124,36 @@ class Filters:
         filled = np.array([((table >> kind(b)) & kind(1)).mean() for b in range(len(languages))])
         return Filters(languages, table, filled**HASHES)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The language of each text and a confidence: the share of its corrected hits
-        among those of all languages, times its own corrected hit rate."""
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the n-grams that each language contains, and all n-grams."""
         n, k = len(texts), len(self.languages)
-        if not n or not k:
-            return [UNKNOWN] * n, [0.0] * n
         grams, owner = ngrams(texts)
         total = np.bincount(owner, minlength=n).astype(float)
         words = self.table[(at := positions(grams, len(self.table)))[0]]
         for more in at[1:]:
             words = words & self.table[more]
         if k <= 8:  # popcounts by word: one count of each pair of text and word
-            counts = np.bincount(owner * 256 + words, minlength=n * 256).reshape(n, 256)
-            bits = (np.arange(256)[:, None] >> np.arange(k)) & 1
-            hits = counts @ bits
-        else:
-            hits = np.stack([np.bincount(owner, weights=((words >> np.uint64(b)) & np.uint64(1)).astype(float), minlength=n) for b in range(k)], axis=1)
+            pairs = np.bincount(owner * 256 + words, minlength=n * 256).reshape(n, 256)
+            return pairs @ ((np.arange(256)[:, None] >> np.arange(k)) & 1), total
+        return np.stack([np.bincount(owner, weights=((words >> np.uint64(b)) & np.uint64(1)).astype(float), minlength=n) for b in range(k)], axis=1), total
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """The language of each text and a confidence: the share of its corrected hits
+        among those of all languages, times the root of its own corrected hit rate."""
+        n, k = len(texts), len(self.languages)
+        if not n or not k:
+            return [UNKNOWN] * n, [0.0] * n
+        parts = [(i, t[at : at + RUN_CHARS]) for i, t in enumerate(texts) for at in range(0, max(1, len(t)), RUN_CHARS)]
+        hits, total = np.zeros((n, k)), np.zeros(n)
+        start = held = 0
+        for j, (_, t) in enumerate([*parts, (0, "")]):
+            if j == len(parts) or (held and held + len(t) > RUN_CHARS):
+                some, every = self.counts([p for _, p in parts[start:j]])
+                of = np.array([i for i, _ in parts[start:j]])
+                np.add.at(hits, of, some)
+                np.add.at(total, of, every)
+                start, held = j, 0
+            held += len(t)
         rate = hits / np.maximum(total, 1)[:, None]
         true = np.clip((rate - self.false_positive) / np.maximum(1 - self.false_positive, 1e-9), 0, 1)
         best = true.argmax(axis=1)
@@ -152,7 +166,7 @@ class Filters:
 def training_rows(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS) -> dict[str, list[str]]:
     """Whole texts of about `docs` documents of each language that the fit may see (the
     crc32 of the id modulo 4 is not 2), chosen by a hash of the id."""
-    seen = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (id_crc(doc_id) % 4 != 2))
+    seen = df.where(F.col(lang).isNotNull() & (F.length(text) <= TRAIN_CHARS) & (id_crc(doc_id) % 4 != 2))
     # languages are few: a table of more than the filters can hold is refused by fit
     counts = {r[0]: r[1] for r in seen.groupBy(lang).count().limit(65).collect()}
     if not counts:
@@ -167,19 +181,6 @@ def training_rows(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return found
 
 
-def _in_runs(own: Filters, texts: list[str]) -> tuple[list[str], list[float]]:
-    langs, scores = [], []
-    start = held = 0
-    for i, t in enumerate([*texts, ""]):
-        if i == len(texts) or (held and held + len(t) > RUN_CHARS):
-            found = own.predict(texts[start:i])
-            langs += found[0]
-            scores += found[1]
-            start, held = i, 0
-        held += len(t)
-    return langs, scores
-
-
 def language_of(df: DataFrame, filters: Filters, text: str = "text") -> Column:
     """A struct of lang_pred and score as a column of df, which keeps its other columns."""
     small_batches(df.sparkSession)
@@ -188,7 +189,7 @@ def language_of(df: DataFrame, filters: Filters, text: str = "text") -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            langs, scores = _in_runs(shared.value, texts.tolist())
+            langs, scores = shared.value.predict(texts.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
     return judged(F.coalesce(F.col(text), F.lit("")))
@@ -208,7 +209,7 @@ def identify(df: DataFrame, filters: Filters, *, doc_id: str = "doc_id", text: s
         own = shared.value
 
         def run(batch: pa.RecordBatch) -> dict:
-            langs, scores = _in_runs(own, batch.column(1).to_pylist())
+            langs, scores = own.predict(batch.column(1).to_pylist())
             return {"doc_id": batch.column(0), "held_out": batch.column(2), "lang_pred": langs, "score": scores}
 
         return run

@@ -57,16 +57,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return filled.select("source", "source_size", "weight", F.least(cap.cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(df: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+def mix(df: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, carry: bool = False) -> DataFrame:
     """What the mix takes of each document of df (doc_id, text, source).
 
     Null sources form one source, sorted last; null and empty texts have size 0 and
     nothing of them is taken; repeated rows are documents of their own; an empty
-    table gives no rows; other columns are left out unless named in `keep`.
-    Returns keep, doc_id, source, size, source_size, target, taken."""
-    keep = [c for c in keep or [] if c not in ("doc_id", "source")]
+    table gives no rows; other columns are left out, or carried in the struct `row`.
+    Returns doc_id, source, size, source_size, target, taken, and row if asked for."""
+    row = [F.struct("*").alias("row")] if carry else []
+    kept = ["row"] if carry else []
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5("text"), F.lit(""))))
-    docs = df.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), order.alias("__order"))
+    docs = df.select("doc_id", "source", *row, word_count(F.col("text")).alias("size"), order.alias("__order"))
     docs = docs.withColumn("__bucket", F.substring("__order", 1, BUCKET_DIGITS))
     parts = docs.groupBy("source", "__bucket").agg(F.sum("size").alias("__part"))
     goal = targets(parts.groupBy("source").agg(F.sum("__part").alias("source_size")), weights, max_epochs)
@@ -81,11 +82,13 @@ def mix(df: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     whole = F.when(F.col("source_size") > 0, F.floor(goal_words / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = goal_words - whole * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("__offset") - F.col("__start")))
-    return placed.select("doc_id", "source", *keep, "size", "source_size", "target", (whole * F.col("size") + part).alias("taken"))
+    return placed.select("doc_id", "source", *kept, "size", "source_size", "target", (whole * F.col("size") + part).alias("taken"))
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix as rows: each document as often as taken says, whole documents only;
-    of the one document in a source that is taken in part, the part is rounded."""
+def repeated(mixed: DataFrame) -> DataFrame:
+    """A mix that carries its rows, as rows: each document as often as taken says, whole
+    documents only; of the one document in a source that is taken in part, the part is
+    rounded. The columns are those of the table that was mixed."""
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    return mixed.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    taken = mixed.select("row", copies.alias("copies")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -32,6 +32,8 @@ SEED = 42
 BLOCKS = 8
 #: Shards under this size are linked by the plain tree, larger ones by numpy.
 SMALL = 24
+#: Shingles of a text whose bits are counted at a time.
+COUNTED = 1 << 15
 #: Pairs of query and node that a search holds at a time.
 FRONTIER = 1 << 20
 
@@ -49,11 +51,13 @@ def fingerprint(text: str | None, words: int = WORDS) -> bytes:
     ends = list(accumulate(map(len, found), lambda a, b: a + 1 + b))
     starts = [0, *(e + 1 for e in ends)]
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=False)])
-    n = len(hashes) // 8
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1)
-    ones = np.add.reduce(bits, axis=0, dtype=np.uint32)
-    return np.packbits(ones * 2 > n).tobytes()
+    spans = list(zip(starts, ends[words - 1 :], strict=False))
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(spans), COUNTED):
+        hashes = b"".join([digest(joined[a:b], SEED) for a, b in spans[i : i + COUNTED]])
+        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint32)
+    return np.packbits(ones * 2 > len(spans)).tobytes()
 
 
 def fingerprints(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -141,6 +141,7 @@ def test_mix(spark):
     again = mixing.mix(docs(spark).repartition(3)).collect()
     assert sorted((r.doc_id or -1, r.size, r.taken) for r in got) == sorted((r.doc_id or -1, r.size, r.taken) for r in again)
     assert mixing.mix(docs(spark).limit(0)).count() == 0
-    rows = mixing.repeated(mixing.mix(docs(spark), keep=["text", "shard"]), ["doc_id", "text", "source", "shard"])
+    rows = mixing.repeated(mixing.mix(docs(spark), carry=True))
+    assert rows.columns == docs(spark).columns  # one of them named size, as the mix's own
     words = sum(len((r.text or "").split()) for r in rows.collect())
     assert abs(words - sum(r.taken for r in got)) <= 11 * len(by)
