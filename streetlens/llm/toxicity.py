@@ -12,7 +12,7 @@ label, later the one that the network itself scores highest.
 from __future__ import annotations
 
 import dataclasses
-import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +46,12 @@ SCORED = 1024
 #: Characters of text that are scored at a time.
 RUN_CHARS = 500_000
 
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: What a word may have at its ends.
+_EDGES = string.punctuation + "“”„«»‘’‚…–—¿¡·"
 
 
 def plain(word: str) -> str:
-    return _EDGES.sub("", word.lower()) or word
+    return word.lower().strip(_EDGES) or word
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -175,28 +176,43 @@ def windows(ids: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
+class _Numbers(dict):
+    """Word to its row of the table; a word that is new is noted and gets the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = row = len(self)
+        self.new.append(word)
+        return row
+
+
 class Scorer:
-    """Scores of texts, with a bounded table of the inputs of words met."""
+    """Scores of texts, with a bounded table of the inputs of words met. When it is full,
+    the later half goes: the words that are frequent came first."""
 
     def __init__(self, network: Network):
         self.network = network
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.table = np.empty((REMEMBERED, 6 * HIDDEN), np.float32)
 
     def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
-        new = list({w for t in texts for w in t} - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list({w for t in texts for w in t})
+        if len(self.known) > REMEMBERED // 2 + REMEMBERED // 4:
+            for word in list(self.known)[REMEMBERED // 2 :]:
+                del self.known[word]
             self.table = self.table[:REMEMBERED]
-        if new:
-            first = len(self.known)
-            self.known.update(zip(new, range(first, first + len(new)), strict=True))
-            if len(self.table) < len(self.known):  # a single run of texts that has more
-                self.table = np.concatenate([self.table[:first], np.empty((len(new), 6 * HIDDEN), np.float32)])
-            for i in range(0, len(new), 20_000):
-                self.table[first + i : first + i + len(new[i : i + 20_000])] = self.network.inputs(new[i : i + 20_000])
-        get = self.known.__getitem__
-        return [np.fromiter(map(get, t), np.int32, len(t)) for t in texts]
+        first = len(self.known)
+        row_of = self.known.__getitem__
+        found = [np.fromiter(map(row_of, t), np.int32, len(t)) for t in texts]
+        new, self.known.new = self.known.new, []
+        if len(self.table) < len(self.known):  # one run of texts that has very many new words
+            self.table = np.concatenate([self.table[:first], np.empty((len(new), 6 * HIDDEN), np.float32)])
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            self.table[first + i : first + i + len(part)] = self.network.inputs(part)
+        return found
 
     def score(self, texts: list[str]) -> list[float]:
         """The largest probability of a window of each text; 0 without words."""
@@ -281,7 +297,9 @@ def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _update(net: Network, ids: np.ndarray, y: np.ndarray, rows, grams, ends, dense, seen_words, seen_grams, step: int, rng: np.random.Generator, rate: float = 0.01) -> None:
+def _gradients(net: Network, ids: np.ndarray, y: np.ndarray, rows, grams, ends, met_share: float, rng: np.random.Generator):
+    """Of the mean log loss of windows (rows of the vocabulary): of the dense parameters,
+    and for the words met their rows, n-grams and gradients by embedding."""
     own, inverse = np.unique(ids, return_inverse=True)
     inverse = inverse.reshape(ids.shape) - int(own[0] < 0)
     own = own[own >= 0]
@@ -289,7 +307,7 @@ def _update(net: Network, ids: np.ndarray, y: np.ndarray, rows, grams, ends, den
     each = [end[own + 1] - end[own] for end in ends]
     total, count = _sum_grams(net.grams, [(r[s], e) for (r, _), s, e in zip(grams, spans, each, strict=True)], len(own))
     scale = 1 / np.sqrt(count)[:, None].astype(np.float32)
-    met = (rng.random((len(own), 1)) < MET).astype(np.float32)
+    met = (rng.random((len(own), 1)) < met_share).astype(np.float32)
     x = np.concatenate([net.words[rows[own]] * met, total * scale], axis=1)
     table = np.concatenate([x @ net.w[0] + net.b[0], x @ net.w[1] + net.b[1]], axis=1)
     gates, mask = _gather(table, inverse)
@@ -332,16 +350,21 @@ def _update(net: Network, ids: np.ndarray, y: np.ndarray, rows, grams, ends, den
     grad["b"] = np.stack([d.sum(axis=0) for d in halves])
     dx = halves[0] @ net.w[0].T + halves[1] @ net.w[1].T
 
+    parts = [(r[s], e) for (r, _), s, e in zip(grams, spans, each, strict=True)]
+    return grad, (rows[own], dx[:, :SIZE] * met), (parts, dx[:, SIZE:] * scale)
+
+
+def _update(net: Network, ids: np.ndarray, y: np.ndarray, rows, grams, ends, dense, seen_words, seen_grams, step: int, rng: np.random.Generator, rate: float = 0.01) -> None:
+    grad, (word_rows, dword), (parts, dgram) = _gradients(net, ids, y, rows, grams, ends, MET, rng)
     for k in Network.DENSE:
         m, v = dense[k]
         m += 0.1 * (grad[k] - m)
         v += 0.001 * (grad[k] ** 2 - v)
         p = getattr(net, k)
         p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    _adagrad(net.words, seen_words, rows[own], dx[:, :SIZE] * met)
-    dgram = dx[:, SIZE:] * scale
-    for (r, _), s, e in zip(grams, spans, each, strict=True):
-        _adagrad(net.grams, seen_grams, r[s], np.repeat(dgram, e, axis=0))
+    _adagrad(net.words, seen_words, word_rows, dword)
+    for at, each in parts:
+        _adagrad(net.grams, seen_grams, at, np.repeat(dgram, each, axis=0))
 
 
 def _adagrad(table: np.ndarray, seen: np.ndarray, at: np.ndarray, grad: np.ndarray, rate: float = 0.1) -> None:
@@ -365,7 +388,7 @@ def training_rows(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
     draw = F.pmod(F.xxhash64(F.col("__of"), F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = seen.where(F.when(F.col("toxic") == 1, draw < min(1.0, bound[1] / max(1, counts.get(1, 0)))).otherwise(draw < min(1.0, bound[0] / max(1, counts.get(0, 0)))))
     # the draw bounds the sample, so that it may be broadcast
-    rows = df.where(F.length(text) <= TRAIN_CHARS).join(F.broadcast(chosen), F.col(doc_id) == F.col("__of")).select(doc_id, text, "toxic").collect()
+    rows = df.where(F.length(text) <= TRAIN_CHARS).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__id") == F.col("__of")).select("__id", "__text", "toxic").collect()
     rows = sorted(rows, key=lambda r: (r[0], r[1]))
     return [r[1] for r in rows], [r[2] for r in rows]
 
