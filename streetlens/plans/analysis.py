@@ -1,4 +1,9 @@
-"""From pixels to safety records: one lazy plan for any number of panoramas."""
+"""From pixels to safety records, for any number of panoramas.
+
+Pixels are read three times: for the rows by class and column, for the calibration, and
+for vehicles as connected components. These small tables, occupied cells and first hits
+are settled by checkpoints, since several branches read each of them; all else is lazy.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from pyspark.sql import functions as F
 
 from streetlens.config import DEFAULT, Config
 from streetlens.operators import calibrate, components, footprint, masks, metrics, profile, raycast
+from streetlens.sources.session import settled
 
 
 @dataclasses.dataclass(frozen=True)
@@ -47,11 +53,11 @@ def scene(pixels: DataFrame, flags: DataFrame, present: DataFrame | None = None,
     if "depth_norm" not in pixels.columns:
         pixels = pixels.withColumn("depth_norm", F.lit(0.0).cast("float"))
     present = pixels.select("pano", "dir").distinct() if present is None else present
-    columns = masks.with_obstacles(masks.column_classes(pixels, flags, config), config)
-    base = masks.base_pixels(columns)
-    fitted = calibrate.calibrate(road_pixels(pixels, flags), config)
+    columns = masks.with_obstacles(settled(masks.column_classes(pixels, flags, config)), config)
+    base = settled(masks.base_pixels(columns))
+    fitted = settled(calibrate.calibrate(road_pixels(pixels, flags), config))
     calibration = present.join(fitted, ["pano", "dir"], "left").withColumn("source", F.coalesce("source", F.lit("ipm")))
-    vehicles = components.vehicle_base(vehicle_pixels(pixels, flags, config), config)
+    vehicles = settled(components.vehicle_base(vehicle_pixels(pixels, flags, config), config))
     side = vehicles.where("layer = 'veh_side'")
     walls = footprint.footprint(occluder_profiles(base, fitted, side, config), config)
     cars = footprint.footprint(profile.ground_profile(vehicles, config), config)
@@ -76,8 +82,8 @@ def variants_of(panos: DataFrame) -> DataFrame:
 
 def measured(found: Scene) -> DataFrame:
     config = found.config
-    rays = raycast.ray_cells(found.cells.sparkSession, config)
-    hits = raycast.first_hits(occupancy(found.cells), rays, config)
+    rays = settled(raycast.ray_cells(found.cells.sparkSession, config))
+    hits = settled(raycast.first_hits(occupancy(found.cells), rays, config))
     shadow = raycast.shadow_counts(hits, rays, config)
     return metrics.measures(metrics.rings(hits, variants_of(found.present), config), shadow, config)
 
@@ -93,8 +99,9 @@ def comparison(pixels: DataFrame, flags: DataFrame, config: Config = DEFAULT) ->
     depth), col, row, n, r2. Any fit with a positive slope counts, however good; panoramas
     without one have rows of the first method only."""
     front = pixels.where("dir = 'front'")
-    base = masks.base_pixels(masks.with_obstacles(masks.column_classes(front, flags, config), config)).where("layer = 'occ'")
-    fitted = calibrate.calibrate(road_pixels(front, flags), config.replace(depth_r2_min=float("-inf"))).where("source = 'depth'")
+    columns = settled(masks.column_classes(front, flags, config))
+    base = settled(masks.base_pixels(masks.with_obstacles(columns, config)).where("layer = 'occ'"))
+    fitted = settled(calibrate.calibrate(road_pixels(front, flags), config.replace(depth_r2_min=float("-inf"))).where("source = 'depth'"))
     plane = footprint.footprint(profile.ground_profile(base, config), config, single=True).withColumn("method", F.lit("ipm"))
     depth = footprint.footprint(profile.depth_profile(base, fitted, config), config, single=True).withColumn("method", F.lit("depth"))
     both = plane.unionByName(depth)

@@ -10,6 +10,7 @@ from streetlens.functions import geometry, vocabulary
 from streetlens.operators import calibrate, components, crop, footprint, infer, masks, metrics, profile, raster, raycast, render, sampling
 from streetlens.plans import analysis
 from streetlens.sources import adapters, records
+from streetlens.sources.session import settled
 
 Spark = SparkSession
 
@@ -29,7 +30,7 @@ def _with_depth(spark: Spark, d: str) -> DataFrame:
 
 
 def _columns(spark: Spark, d: str) -> DataFrame:
-    return masks.with_obstacles(masks.column_classes(_pixels(spark, d), _flags(spark)))
+    return masks.with_obstacles(settled(masks.column_classes(_pixels(spark, d), _flags(spark))))
 
 
 def _base(spark: Spark, d: str) -> DataFrame:
@@ -42,7 +43,7 @@ def _vehicles(spark: Spark, d: str) -> DataFrame:
 
 def _occ_profile(spark: Spark, d: str) -> DataFrame:
     """Structures by the ground plane, capped by vehicles."""
-    base = _base(spark, d)
+    base = settled(_base(spark, d))
     return profile.capped(profile.ground_profile(base.where("layer = 'occ'")), profile.ground_profile(base.where("layer = 'vehicle'")))
 
 
@@ -284,6 +285,7 @@ def emergence_summary(spark: Spark, d: str) -> DataFrame:
 def dsi_structures(spark: Spark, d: str) -> DataFrame:
     """The index by structures on the ground plane. The flagship."""
     hits, rays = _hits(spark, d)
+    hits = settled(hits)
     keys = adapters.panoramas(spark, d).select("pano", F.lit("occ").alias("variant"))
     m = metrics.measures(metrics.rings(hits, keys), raycast.shadow_counts(hits, rays))
     return m.select("pano", F.round("l_vis", 4).alias("l_vis_m"), "a_shadow", F.round("dsi", 6).alias("dsi"), "grade", F.round("h_leak", 6).alias("h_leak"), "n_edges")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -16,3 +17,15 @@ def reachable(spark: SparkSession) -> SparkSession:
     if ROOT not in own.get("PYTHONPATH", "").split(":"):
         own["PYTHONPATH"] = ":".join(filter(None, (own.get("PYTHONPATH"), ROOT)))
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and kept by a reliable checkpoint in the folder that
+    the session names; a local session that names none gets a temporary one.
+
+    For small tables that several branches of a plan read, where the rows they come from
+    are many: a plan would compute them again for each branch."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
