@@ -37,6 +37,11 @@ def keyword_table(classes: DataFrame) -> DataFrame:
     return met.select("class_id", F.col("s.set_name").alias("set_name"), F.get(first, F.lit(0)).alias("kw")).where("kw is not null")
 
 
+def listing(flags: DataFrame, keywords: str) -> DataFrame:
+    """The classes of a set by number."""
+    return flags.where(f"is_{keywords}").select("class_id", "name").orderBy("class_id")
+
+
 def class_colours(blockers: list[int], seed: int = 42) -> dict[int, tuple[int, int, int]]:
     """A colour (BGR) for each blocker class, drawn in the order given."""
     import numpy as np

@@ -302,6 +302,13 @@ SELECT pano, col, "row", bool_or(s) AS s FROM (SELECT pano, col, "row", false AS
     "remaining_work_anti": "SELECT DISTINCT pano FROM rect WHERE pano NOT IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey % 3 = 0)",
     "left_default_fill": """SELECT pano, count(*) FILTER (WHERE f.is_ground AND pano % 5 <> 0) AS ground, count(*) FILTER (WHERE f.is_vehicle AND pano % 5 <> 0) AS vehicle, count(*) FILTER (WHERE depth_norm = 0) AS no_depth FROM pxd JOIN flags f USING (class_id) GROUP BY ALL""",
     "crops_with_cameras": f"SELECT pano, count(*) AS dirs, CAST(sum({YAW}) AS DOUBLE) AS yaw FROM have WHERE pano % 4 <> 1 OR dir <> 'left' GROUP BY ALL",
+    "class_listing": "SELECT class_id, name FROM flags WHERE is_blocker",
+    "strict_inputs": "SELECT DISTINCT pano, dir FROM px WHERE pano % 5 <> 0 AND pano % 7 <> 0",
+    "work_counts": "SELECT count(*) AS total, count(*) FILTER (WHERE done) AS done, count(*) FILTER (WHERE NOT done) AS remaining FROM (SELECT DISTINCT pano, pano IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey % 3 = 0) AS done FROM rect)",
+    "depth_colours": """SELECT pano, dir, CAST(sum(k0) AS BIGINT) AS r, CAST(sum(CAST(floor(k / 510.0::DOUBLE * 255) AS BIGINT)) AS BIGINT) AS g, CAST(sum(CAST(floor(k / 1020.0::DOUBLE * 255) AS BIGINT)) AS BIGINT) AS b
+FROM (SELECT pano, dir, CAST(floor(x / 255.0::DOUBLE * 255) AS BIGINT) AS k0, x AS k FROM (SELECT *, (u * 31 + v * 17) % 256 AS x FROM px)) GROUP BY ALL""",
+    "occluder_zones": """SELECT pano, CASE WHEN s THEN 255 ELSE 220 END AS r, CASE WHEN s THEN 235 ELSE 80 END AS g, CASE WHEN s THEN 150 ELSE 80 END AS b, count(*) AS cells FROM (
+SELECT pano, col, "row", bool_or(s) AS s FROM (SELECT pano, col, "row", false AS s FROM occ UNION ALL SELECT pano, col, "row", true FROM shadow) GROUP BY ALL) GROUP BY ALL""",
     "panorama_names": "SELECT pano FROM have WHERE dir = 'front'",
     "compare_ipm_vs_depth": "SELECT c.pano, c.layer AS method, count(*) AS cells, max(f.n) AS n, round(max(f.r2), 4) AS r2 FROM cmp_cells c LEFT JOIN fits f ON f.pano = c.pano AND f.dir = 'front' AND any_fit GROUP BY ALL",
 }

@@ -396,6 +396,36 @@ def compare_ipm_vs_depth(spark: Spark, d: str) -> DataFrame:
     return both.groupBy("pano", "method").agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("n"), F.round(F.max("r2"), 4).alias("r2"))
 
 
+def class_listing(spark: Spark, d: str) -> DataFrame:
+    """O3: blocker classes by number."""
+    return vocabulary.listing(_flags(spark), "blocker")
+
+
+def strict_inputs(spark: Spark, d: str) -> DataFrame:
+    """Crops with both masks and depth."""
+    labels = _pixels(spark, d)
+    return records.strict_inputs(adapters.panoramas(spark, d), labels.where("pano % 5 != 0"), adapters.depth_px(spark, d, labels.where("pano % 7 != 0")))
+
+
+def work_counts(spark: Spark, d: str) -> DataFrame:
+    """A18, K11."""
+    return records.counts(adapters.panoramas(spark, d), adapters.done(spark, d))
+
+
+def depth_colours(spark: Spark, d: str) -> DataFrame:
+    """X15, with a table of greys: summed by crop."""
+    table = spark.range(256).select(F.col("id").cast("int").alias("level"), *[(F.col("id") / F.lit(k)).alias(c) for c, k in (("r", 255.0), ("g", 510.0), ("b", 1020.0))])
+    depth = _pixels(spark, d).select("pano", "dir", "u", "v", (((F.col("u") * 31 + F.col("v") * 17) % 256) / F.lit(256.0)).alias("depth_norm"))
+    return render.colour_map(depth, table).groupBy("pano", "dir").agg(*[F.sum(c).alias(c) for c in "rgb"])
+
+
+def occluder_zones(spark: Spark, d: str) -> DataFrame:
+    """Cells of the hazard panel by colour."""
+    hits, rays = _hits(spark, d)
+    shown = render.hazard_composite(_occ_cells(spark, d), raycast.shadow_cells(hits, rays))
+    return shown.groupBy("pano", "r", "g", "b").agg(F.count(F.lit(1)).alias("cells"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -405,5 +435,6 @@ QUERIES = {
         ray_cell_dimension, raycast_hits, shadow_cells, shadow_area, raycast_single_view, l_vis, emergence_edges, emergence_summary, dsi_structures, dsi_record,
         dsi_grade_histogram, bev_composite_rgb, bev_shadow_rgb, overlay_blend, channel_swap, thumbnail_pixels, shadow_arrows, hazard_markers, remaining_work_anti,
         left_default_fill, crops_with_cameras, panorama_names, seeded_sample, compare_ipm_vs_depth,
+        class_listing, strict_inputs, work_counts, depth_colours, occluder_zones,
     )
 }

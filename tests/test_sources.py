@@ -88,3 +88,19 @@ def test_stream(spark, sf, tmp_path):
     got = spark.read.parquet(where[1])
     want = analysis.records(px.where("pano in ('1', '2')"), flags)
     assert sorted((r.pano, r.dsi_veh) for r in got.collect()) == sorted((r.pano, r.dsi_veh) for r in want.collect())
+
+
+def test_files(spark, tmp_path):
+    from streetlens.sources import figures
+
+    composed = spark.createDataFrame([(7, 3, 5, 255, 140, 0)], "pano int, col int, row int, r int, g int, b int")
+    folder = f"file://{tmp_path}/figures"
+    figures.write_files(figures.grid_images(composed), folder)
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 255, (4, 5, 3)).astype(np.uint8)
+    crops = spark.createDataFrame([("p", "front", ("f", 4, 5, 3, 16, bytearray(image.tobytes())))], "pano string, dir string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    figures.write_files(figures.crop_files(crops), folder)
+    read = {r.image.origin.rpartition("/")[2]: r.image for r in spark.read.format("image").load(folder).collect()}
+    grid = np.frombuffer(read["7_bev360.png"].data, np.uint8).reshape(240, 240, 3)
+    assert tuple(grid[5, 3]) == (0, 140, 255) and tuple(grid[0, 0]) == (200, 200, 200)
+    assert np.array_equal(np.frombuffer(read["p_front.png"].data, np.uint8).reshape(4, 5, 3), image)
