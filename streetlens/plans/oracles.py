@@ -265,7 +265,7 @@ count(*) FILTER (WHERE NOT is_ground AND NOT is_obstacle AND NOT is_vehicle_clas
     "cells_closed": f"SELECT pano, col, \"row\" FROM ({_close('occ', 'pano, layer')})",
     "ground_surface_points": "SELECT pano, dir, u, v, col, \"row\", from_col, from_row FROM ground_points WHERE layer = 'road'",
     "ground_surface_cells": "SELECT pano, col, \"row\" FROM ground WHERE layer = 'road'",
-    "depth_calibration": "SELECT pano, dir, n, round(CASE WHEN isnan(a) THEN NULL ELSE a END, 5) AS a, round(CASE WHEN isnan(b) THEN NULL ELSE b END, 5) AS b, round(CASE WHEN isnan(r2) THEN NULL ELSE r2 END, 4) AS r2 FROM fit",
+    "depth_calibration": "SELECT pano, dir, n, round(CASE WHEN isnan(a) THEN NULL ELSE a END, 5) + 0.0::DOUBLE AS a, round(CASE WHEN isnan(b) THEN NULL ELSE b END, 5) + 0.0::DOUBLE AS b, round(CASE WHEN isnan(r2) THEN NULL ELSE r2 END, 4) + 0.0::DOUBLE AS r2 FROM fit",
     "occ_source_by_dir": "SELECT pano, dir, CASE WHEN good THEN 'depth' ELSE 'ipm' END AS source FROM have LEFT JOIN fits USING (pano, dir)",
     "zmap_footprint": f"SELECT pano, dir, count(*) AS points, round(sum(CAST(z0 AS DOUBLE)), 2) AS z FROM ({_cell('(' + _smooth('(SELECT pano, dir, layer, i, u, z FROM deep WHERE good)') + ')', 'pano, dir, layer, i, z0')}) GROUP BY ALL",
     "vehicle_components": "SELECT pano, dir, area_px, sum_u FROM comps",

@@ -191,7 +191,7 @@ def ground_surface_cells(spark: Spark, d: str) -> DataFrame:
 def depth_calibration(spark: Spark, d: str) -> DataFrame:
     """X7, A7-A9, F13, F14, P6."""
     fit = calibrate.calibrate(analysis.road_pixels(_with_depth(spark, d), _flags(spark)))
-    return fit.select("pano", "dir", "n", F.round("a", 5).alias("a"), F.round("b", 5).alias("b"), F.round("r2", 4).alias("r2"))
+    return fit.select("pano", "dir", "n", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("a", 5), ("b", 5), ("r2", 4))])  # no minus zero
 
 
 def occ_source_by_dir(spark: Spark, d: str) -> DataFrame:
