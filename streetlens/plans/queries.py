@@ -24,9 +24,7 @@ def _pixels(spark: Spark, d: str) -> DataFrame:
 
 
 def _with_depth(spark: Spark, d: str) -> DataFrame:
-    labels = _pixels(spark, d)
-    noise = adapters.depth_px(spark, d, labels.where("pano % 7 != 0"))  # some panoramas have no depth
-    return labels.join(noise, ["pano", "dir", "u", "v"], "left").withColumn("depth_norm", F.coalesce("depth_norm", F.lit(0.0).cast("float")))
+    return adapters.pixels(spark, d)
 
 
 def _columns(spark: Spark, d: str) -> DataFrame:

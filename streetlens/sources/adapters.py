@@ -48,15 +48,26 @@ def label_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("pano", direction_name(F.col("dir_idx")).alias("dir"), "u", "v", (F.col("top") % 10).cast("int").alias("class_id"))
 
 
+#: A smooth road plane with noise by column, little for even panoramas.
+DEPTH = """
+    cast(cast(1.0 as double) - (cast(0.002 as double) * (v - 128) + cast(0.05 as double)
+    + cast(embedding[u % 64] as double) * (case when pano % 2 = 0 then cast(0.05 as double) else cast(2.0 as double) end)) as float)"""
+
+
+def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", "embedding")
+
+
 def depth_px(spark: SparkSession, sf_dir: str, labels: DataFrame | None = None) -> DataFrame:
-    """Relative depth: a smooth road plane with noise by column, little for even panoramas."""
+    """Relative depth of the painted pixels."""
     labels = label_px(spark, sf_dir) if labels is None else labels
-    noise = _table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", "embedding")
-    joined = labels.join(noise, F.col("vec_id") == F.col("pano") % 500)
-    value = F.expr("""
-        cast(cast(1.0 as double) - (cast(0.002 as double) * (v - 128) + cast(0.05 as double)
-        + cast(embedding[u % 64] as double) * (case when pano % 2 = 0 then cast(0.05 as double) else cast(2.0 as double) end)) as float)""")
-    return joined.select("pano", "dir", "u", "v", value.alias("depth_norm"))
+    return labels.join(_noise(spark, sf_dir), F.col("vec_id") == F.col("pano") % 500).select("pano", "dir", "u", "v", F.expr(DEPTH).alias("depth_norm"))
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """label_px with depth_norm; every seventh panorama has no depth, which is 0."""
+    known = (F.col("vec_id") == F.col("pano") % 500) & (F.col("pano") % 7 != 0)
+    return label_px(spark, sf_dir).join(_noise(spark, sf_dir), known, "left").select("pano", "dir", "u", "v", "class_id", F.coalesce(F.expr(DEPTH), F.lit(0.0).cast("float")).alias("depth_norm"))
 
 
 def done(spark: SparkSession, sf_dir: str) -> DataFrame:
