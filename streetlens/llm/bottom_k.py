@@ -24,7 +24,7 @@ WORDS = 5
 SEED = 9
 #: Word hashes remembered in a Python worker; the table starts anew when full.
 REMEMBERED = 1 << 18
-#: Values of the edited text's row that stand for the first row of the next range.
+#: A range's own rows, and the first ones of the next range.
 OWN, SENTINEL = 0, 1
 
 EMPTY = np.zeros(0, np.uint64)
@@ -149,7 +149,7 @@ def _range_of(bounds: list[int]):
     return part
 
 
-def with_next(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+def with_next(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, text, kind, part) dealt by ranges of descending doc_id, and sorted.
 
     The last row of a range needs the first one of the next range (of the last range,
@@ -170,13 +170,12 @@ def with_next(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> t
         first = dict(zip(of, firsts, strict=True))
         return pd.Series([[2 * p, 2 * before[p] + 1] if (first[p] == v if k else nulls and first[p] is None) else [2 * p] for p, v, k in zip(at.tolist(), values.tolist(), known.tolist(), strict=True)])
 
-    dealt = (
+    return (
         rows.withColumn("place", F.explode(places("doc_id")))
         .select("doc_id", "text", (F.col("place") % 2).alias("kind"), F.shiftright("place", 1).alias("part"))
         .repartitionById(max(1, len(bounds) + 1), F.col("part"))
         .sortWithinPartitions("kind", F.col("doc_id").desc_nulls_last(), "text")
     )
-    return dealt, len(bounds) + 1
 
 
 def fingerprint_documents(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, words: int = WORDS) -> DataFrame:
@@ -189,7 +188,7 @@ def fingerprint_documents(df: DataFrame, *, doc_id: str = "doc_id", text: str =
     columns are left out. Returns doc_id, n_chars, edited (text), sketch and
     edited_sketch (hex), near_edited, near_next, n_shingles, contained_edited."""
     small_batches(df.sparkSession)
-    dealt, _ = with_next(df, doc_id=doc_id, text=text)
+    dealt = with_next(df, doc_id=doc_id, text=text)
     schema = "doc_id long, n_chars long, edited string, sketch string, edited_sketch string, near_edited double, near_next double, n_shingles double, contained_edited double"
     names = [part.split()[0] for part in schema.split(", ")]
 

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from streetlens.sources.session import settled
 
 #: Characters of text that an Arrow-side loop turns into Python objects at a time.
 SLICE_CHARS = 4_000_000
 #: Bytes of a batch that goes to a Python worker: Spark's own default of 64 MB, in a few
 #: copies on either side, is much of an executor's memory.
 BATCH_BYTES = 8 << 20
+#: Arrow's types of the columns that operators return.
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 #: ASCII white space; what contracts call a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,14 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder that the session names.
-
-    Only where neither the session nor its context names one (a local test) is a
-    temporary folder set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    """Cut lineage by a reliable checkpoint in the folder that the session names."""
+    return settled(df)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -71,10 +69,8 @@ def slices(batches: Iterator[pa.RecordBatch], text_field: int = 1) -> Iterator[p
 def map_slices(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, text_field: int = 1) -> DataFrame:
     """mapInArrow over slices. per_slice is called once per task and returns the
     function that turns a slice into a dict of columns in the order of schema."""
-    from pyspark.sql.types import _parse_datatype_string  # noqa: PLC2701  the DDL parser PySpark itself uses
-
     small_batches(df.sparkSession)
-    arrow = pa.schema([_arrow_field(f) for f in _parse_datatype_string(schema).fields])
+    arrow = pa.schema([pa.field(f.name, ARROW[f.dataType.simpleString()]) for f in StructType.fromDDL(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = per_slice()
@@ -89,9 +85,3 @@ def _column(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
-
-
-def _arrow_field(f) -> pa.Field:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return pa.field(f.name, to_arrow_type(f.dataType))

@@ -37,13 +37,15 @@ _WORDS = re.compile(r"[a-z]+")
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset head".split())
+BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset label head".split())
 #: Words in a class, id or role that mark what is not article text.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead footer cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended widget comment comments disqus reply replies respond pagination pager toolbar contentinfo complementary search".split()
 )
+#: Of these, what inside an article heads the article itself.
+HEADINGS = frozenset("header masthead banner".split())
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 #: Where a block starts, an open paragraph ends; a list item or cell ends its like.
 ENDS_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -65,7 +67,8 @@ def _kind(tag: str, attributes: str, outer: int) -> int:
         return COMMENT if tag != "main" and not (tag == "article" and outer != COMMENT and "comment" not in words) else MAIN
     if tag in ("article", "main") or words & {"articlebody", "main"} and tag in ("div", "section") and outer == PLAIN:
         return MAIN
-    if tag in BOILERPLATE or (tag == "header" and outer != MAIN) or (words & MARKS and tag not in INLINE and not (tag == "header" and outer == MAIN)):
+    marks = MARKS - HEADINGS if outer == MAIN else MARKS
+    if tag in BOILERPLATE or (tag == "header" and outer != MAIN) or (words & marks and tag not in INLINE):
         return OUT
     return outer
 
