@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from streetlens.config import DEFAULT, Config
 from streetlens.functions.geometry import cell_of, ground_distance, lateral, on_grid, yaw_of
+from streetlens.operators.layout import by_pano
 from streetlens.operators.profile import LAYER, smoothed
 from streetlens.operators.raster import close, dilate, line_points
 
@@ -46,7 +47,7 @@ def footprint(profile: DataFrame, config: Config = DEFAULT, *, connect: bool = T
     """Cells (pano, layer, col, row) of a profile: smoothed, projected, joined by lines
     and grown by a cell. Directions meet in one grid."""
     _, width, height = _grid(config, single)
-    points = projected(smoothed(profile, config), config, single)
+    points = projected(smoothed(by_pano(profile), config), config, single)
     if connect:
         cells = _drawn(linked(points, config), ["pano", "layer"])
     else:

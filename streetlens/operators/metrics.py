@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from streetlens.config import DEFAULT, Config
 from streetlens.functions.geometry import edge_weight, grade, order_of, rounded, safety_index, stopping_distance
+from streetlens.operators.layout import by_pano
 from streetlens.operators.raycast import angles, distance
 
 
 def rings(hits: DataFrame, keys: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """One row for each key (pano, variant) with ring: the distance of every ray in order,
     the whole range where it hits nothing. Keys without any hit have such a row as well."""
-    found = hits.groupBy("pano", "variant").agg(F.map_from_entries(F.collect_list(F.struct("ray", "hit_s"))).alias("at"))
-    full = keys.select("pano", "variant").distinct().join(found, ["pano", "variant"], "left")
+    found = by_pano(hits).groupBy("pano", "variant").agg(F.map_from_entries(F.collect_list(F.struct("ray", "hit_s"))).alias("at"))
+    full = by_pano(keys.select("pano", "variant").distinct()).join(found, ["pano", "variant"], "left")
     ring = F.transform(F.sequence(F.lit(0), F.lit(config.n_rays - 1)), lambda r: distance(F.try_element_at(F.col("at"), r), config))
     return full.select("pano", "variant", ring.alias("ring"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetlens.config import DEFAULT, Config
+from streetlens.operators.layout import by_pano
 
 #: Rows of a ray table above which it is not hinted for broadcast.
 BROADCAST_ROWS = 500_000
@@ -71,14 +72,16 @@ def first_hits(occupied: DataFrame, cells: DataFrame, config: Config = DEFAULT,
 
 def shadow_cells(hits: DataFrame, cells: DataFrame, config: Config = DEFAULT, single: bool = False) -> DataFrame:
     """Cells at or behind the first hit of a ray, once each: pano, variant, col, row."""
-    behind = hits.select("pano", "variant", "ray", "hit_s").join(_small(cells.drop("ang"), config, single), "ray").where("smax >= hit_s")
+    behind = by_pano(hits.select("pano", "variant", "ray", "hit_s")).join(_small(cells.drop("ang"), config, single), "ray").where("smax >= hit_s")
     return behind.select("pano", "variant", "col", "row").distinct()
 
 
 def shadow_counts(hits: DataFrame, cells: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The number of shadow cells of each pano and variant. Cells are marked in bitmaps
-    that merge before the shuffle, instead of being made distinct."""
-    key = F.col("row") * config.canvas + F.col("col")
-    behind = hits.select("pano", "variant", "ray", "hit_s").join(_small(cells.drop("ang"), config, False), "ray").where("smax >= hit_s")
-    marks = behind.groupBy("pano", "variant", F.bitmap_bucket_number(key).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bits"))
-    return marks.groupBy("pano", "variant").agg(F.sum(F.bitmap_count("bits")).alias("shadow_cells"))
+    """The number of shadow cells of each pano and variant. Cells are bits of 64-bit words
+    of a grid row that are or-ed, which generated code does in a hash table before the
+    shuffle, instead of being made distinct."""
+    words = -(-config.canvas // 64)
+    marked = cells.select("ray", "smax", (F.col("row") * words + F.expr("col div 64")).cast("int").alias("word"), F.expr("shiftleft(1L, col % 64)").alias("bit"))
+    behind = by_pano(hits.select("pano", "variant", "ray", "hit_s")).join(_small(marked, config, False), "ray").where("smax >= hit_s")
+    marks = behind.groupBy("pano", "variant", "word").agg(F.bit_or("bit").alias("bits"))
+    return marks.groupBy("pano", "variant").agg(F.sum(F.bit_count("bits")).cast("long").alias("shadow_cells"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from streetlens.config import DEFAULT, Config
 from streetlens.operators import calibrate, components, footprint, masks, metrics, profile, raycast
+from streetlens.operators.layout import by_pano
 from streetlens.sources.session import settled
 
 
@@ -73,7 +74,7 @@ def scene(pixels: DataFrame, flags: DataFrame, present: DataFrame | None = None,
 def occupancy(cells: DataFrame) -> DataFrame:
     """Cells of the two variants: structures (occ), and with vehicles to the side (veh)."""
     variants = F.when(F.col("layer") == "occ", F.array(F.lit("occ"), F.lit("veh"))).when(F.col("layer") == "veh_side", F.array(F.lit("veh")))
-    return cells.select("pano", F.explode(variants).alias("variant"), "col", "row").distinct()
+    return by_pano(cells.select("pano", F.explode(variants).alias("variant"), "col", "row")).distinct()
 
 
 def variants_of(panos: DataFrame) -> DataFrame:

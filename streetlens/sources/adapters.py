@@ -39,13 +39,17 @@ def panoramas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_px(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class of every painted pixel: the last rectangle on it, clipped to 256 x 256."""
-    rect = scene_rect(spark, sf_dir)
+    """Class of every painted pixel: the last rectangle on it, clipped to 256 x 256.
+
+    Rectangles are dealt by crop before they become pixels, so that neither the pixels nor
+    what is aggregated of them within a crop has to be shuffled."""
+    rect = scene_rect(spark, sf_dir).select("pano", direction_name(F.col("dir_idx")).alias("dir"), "z", "class_id", "u0", "v0", "wd", "ht")
+    rect = rect.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "pano", "dir")
     across = F.sequence("u0", F.least(F.expr("u0 + wd - 1"), F.lit(255)))
     down = F.sequence("v0", F.least(F.expr("v0 + ht - 1"), F.lit(255)))
-    px = rect.select("pano", "dir_idx", "z", "class_id", "v0", "ht", F.explode(across).alias("u")).select("pano", "dir_idx", "z", "class_id", "u", F.explode(down).alias("v"))
-    top = px.groupBy("pano", "dir_idx", "u", "v").agg(F.max(F.expr("z * 10 + class_id")).alias("top"))
-    return top.select("pano", direction_name(F.col("dir_idx")).alias("dir"), "u", "v", (F.col("top") % 10).cast("int").alias("class_id"))
+    px = rect.select("pano", "dir", F.expr("z * 10 + class_id").alias("zc"), "v0", "ht", F.explode(across).alias("u")).select("pano", "dir", "zc", "u", F.explode(down).alias("v"))
+    top = px.groupBy("pano", "dir", "u", "v").agg(F.max("zc").alias("top"))
+    return top.select("pano", "dir", "u", "v", (F.col("top") % 10).cast("int").alias("class_id"))
 
 
 #: A smooth road plane with noise by column, little for even panoramas.
