@@ -220,9 +220,13 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     return rows.join(found, F.col("fp") == F.col("at")).select("doc_id", "text_key", "fp", F.col("kept.doc_id").alias("component_id"), "kept")
 
 
-def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """df with one row of each component: the one with the smallest doc_id."""
-    kept = near_duplicates(df, doc_id=doc_id, text=text, radius=radius).select("kept.*").distinct().select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+def only(df: DataFrame, kept: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of df for each doc_id and text_key of kept."""
     keyed = df.withColumn("__text_key", F.xxhash64(text)).withColumn("__doc_key", F.coalesce(F.col(doc_id).cast("string"), F.lit("\0null")))
-    kept = kept.select(F.coalesce(F.col("__id").cast("string"), F.lit("\0null")).alias("__doc_key"), F.col("__key").alias("__text_key"))
+    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null")).alias("__doc_key"), F.col("text_key").alias("__text_key"))
     return keyed.join(kept, ["__doc_key", "__text_key"], "left_semi").dropDuplicates(["__doc_key", "__text_key"]).drop("__doc_key", "__text_key")
+
+
+def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """df with one row of each component: the one with the smallest doc_id."""
+    return only(df, near_duplicates(df, doc_id=doc_id, text=text, radius=radius).select("kept.*").distinct(), doc_id=doc_id, text=text)
