@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A word enters as its own hashed embedding and as the mean of the embeddings of its
-character n-grams, so that inflected forms are met by their stems. The network reads
+character n-grams, so that inflected forms are met by their stems; a word of over 40
+characters, or text without spaces, enters in overlapping pieces. The network reads
 overlapping windows of words in both directions; attention pools the states of a
 window, and a text's score is that of its worst window. It is trained in numpy on the
 driver, on a bounded sample of labelled documents. Labels are of whole texts, so each
@@ -46,6 +47,9 @@ SCORED = 1024
 #: Characters of text that are scored at a time.
 RUN_CHARS = 500_000
 
+#: A longer word becomes pieces of so many characters; the overlap holds every n-gram.
+PIECE, OVERLAP = 40, 8
+
 #: What a word may have at its ends.
 _EDGES = string.punctuation + "“”„«»‘’‚…–—¿¡·"
 
@@ -54,10 +58,25 @@ def plain(word: str) -> str:
     return word.lower().strip(_EDGES) or word
 
 
+def steps(text: str) -> list[str]:
+    """The words of a whole text; a long one is taken in consecutive pieces."""
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    out: list[str] = []
+    for w in words:
+        if len(w) <= PIECE:
+            out.append(w)
+        else:
+            w = plain(w)
+            out += [w[i : i + PIECE] for i in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)]
+    return out
+
+
 def word_features(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """The row of each word, and for each n-gram length the rows of all n-grams with
     the number of n-grams of each word."""
-    marked = [f"^{plain(w)[:40]}$" for w in words]
+    marked = [f"^{plain(w)}$" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters up to the word's end
@@ -216,7 +235,7 @@ class Scorer:
 
     def score(self, texts: list[str]) -> list[float]:
         """The largest probability of a window of each text; 0 without words."""
-        rows = self.rows([t.split() for t in texts])
+        rows = self.rows([steps(t) for t in texts])
         cut = [windows(r) for r in rows if len(r)]
         if not cut:
             return [0.0] * len(texts)
@@ -237,7 +256,7 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 5) -> Network:
         return net
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
-    ids = [np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int32) for t in texts]
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in steps(t)), np.int32) for t in texts]
     vocabulary = list(number)
     use = [i for i, x in enumerate(ids) if len(x)]
     ids, y_all = [ids[i] for i in use], y_all[use]
