@@ -35,6 +35,7 @@ _WORDS = re.compile(r"[a-z]+")
 
 #: Elements whose content is not markup, or not for reading.
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select".split())
+_RAW_END = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset label head".split())
@@ -82,7 +83,6 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     kind = PLAIN
     in_link = 0
     at = 0
-    low = None
 
     def end_line() -> None:
         nonlocal links
@@ -127,11 +127,9 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             continue
         attributes = m[3] or m[6] or ""
         if tag in RAW:
-            if low is None:
-                low = page.lower()
-            end = -1 if attributes.endswith("/") and tag in ("svg", "math", "object") else low.find(f"</{tag}", at)
-            if end >= 0:
-                close_at = page.find(">", end)
+            end = None if attributes.endswith("/") and tag in ("svg", "math", "object") else _RAW_END[tag].search(page, at)
+            if end:
+                close_at = page.find(">", end.start())
                 at = len(page) if close_at < 0 else close_at + 1
             elif not attributes.endswith("/"):
                 at = len(page)
