@@ -4,9 +4,9 @@ Markup is stripped into lines, one for each block element's run of text. Each li
 weighs its length; sums over a sliding window of lines rise sharply where the article
 begins (surge) and fall to nothing behind it (dive), and the text between them stays.
 Stripping already leaves out what is never article text (scripts, styles, forms,
-menus, page headers and footers, sidebars, adverts, notices, reader comments), and
-weighs lines outside a marked article at nothing where a page marks one; elsewhere a
-line weighs what is not the text of links.
+menus, page headers and footers, sidebars, adverts, notices, reader comments). A line
+weighs what is not the text of links, and a line in a marked article twice its length:
+marks add weight, but surge and dive decide on every page.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from streetlens.llm.common import map_slices
 
 WINDOW = 3
-#: The least sum of a window that is a surge in a page without a marked article,
-#: or half of the page's largest window if that is less.
+#: The least sum of a window that is a surge, or half of the page's largest window if
+#: that is less.
 SURGE = 86
+#: What a character in a marked article weighs.
+MARKED = 2
 
 _TAG = re.compile(
     r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
@@ -166,15 +168,14 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    marked = any(kind == MAIN for _, _, kind in found)
-    weights = [(len(t) if kind == MAIN else 0) if marked else (max(0, len(t) - 2 * links)) for t, links, kind in found]
+    weights = [len(t) * MARKED if kind != PLAIN else max(0, len(t) - 2 * links) for t, links, kind in found]
     n = len(weights)
     before = [0]
     for w in weights:
         before.append(before[-1] + w)
     # the window that starts at each line, from one that ends at the first line on
     sums = [before[min(n, i + window)] - before[max(0, i)] for i in range(1 - window, n)]
-    least = 1 if marked else min(SURGE, max(sums) / 2)
+    least = min(SURGE, max(sums) / 2)
     kept: list[str] = []
     i = 0
     while i < n:
@@ -188,7 +189,7 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
             j += 1
         if peak >= least:
             last = max(k for k in range(i, j) if weights[k])
-            kept += [found[k][0] for k in range(i, last + 1) if not marked or found[k][2] == MAIN]
+            kept += [found[k][0] for k in range(i, last + 1)]
         i = j + 1
     return " ".join(kept)
 

@@ -1,7 +1,23 @@
 from __future__ import annotations
 
+import re
+
 from streetlens.llm.extraction import main_text
 
+BODY = "".join(f"<p>Paragraph {i} of the body, which is long enough that the text surges here and stays.</p>" for i in range(4))
+TEXT = " ".join(f"Paragraph {i} of the body, which is long enough that the text surges here and stays." for i in range(4))
+
+
+def test_tags_do_not_decide_alone():
+    """A small marked element does not take the place of the text that surges."""
+    links = "<p><a href=x>A link</a></p>" * 5
+    assert main_text(f"<article>Tiny</article>{links}<div>{BODY}</div>") == TEXT
+
+
+def test_line_blocks_without_tags(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        assert main_text(re.sub("<(/?)article>", r"<\1div>", r.html)) == main_text(r.html)
+
 
 def test_raw_elements_behind_letters_that_lower_longer():
     page = "<p>" + "\u0130" * 60 + "</p><SCRIPT>x</Script><p>kept</p><p>and this one</p>"
