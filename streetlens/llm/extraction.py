@@ -53,7 +53,9 @@ COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 #: Where a block starts, an open paragraph ends; a list item or cell ends its like.
 ENDS_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-PLAIN, MAIN, OUT, COMMENT = range(4)
+#: Plain text, a marked article, an article inside what is left out (read only where the
+#: page has no other), what is left out, and comments.
+PLAIN, MAIN, INNER, OUT, COMMENT = range(5)
 
 
 def _kind(tag: str, attributes: str, outer: int) -> int:
@@ -61,17 +63,24 @@ def _kind(tag: str, attributes: str, outer: int) -> int:
     if tag == "body" or tag == "html":
         return outer
     words: set[str] = set()
+    names: list[set[str]] = []
     if attributes:
         for m in _NAMES.finditer(attributes):
-            words.update(_WORDS.findall(m[1].lower()))
+            names += [set(_WORDS.findall(name)) for name in m[1].lower().split()]
+        words.update(*names)
         if _HIDDEN.search(attributes):
             return OUT
     if outer == COMMENT or words & COMMENTS and tag not in INLINE:
         return COMMENT if tag != "main" and not (tag == "article" and outer != COMMENT and "comment" not in words) else MAIN
-    if tag in ("article", "main") or words & {"articlebody", "main"} and tag in ("div", "section") and outer == PLAIN:
+    marks = MARKS - HEADINGS if outer in (MAIN, INNER) else MARKS
+    if tag in ("article", "main"):
+        if any(name and name <= MARKS for name in names):  # a name of nothing but marks: an advert, related pages
+            return OUT if outer == OUT else INNER
+        return INNER if outer in (OUT, INNER) and tag == "article" else MAIN
+    # main-content, but not main-menu
+    if outer == PLAIN and tag in ("div", "section") and any(name & {"articlebody", "main"} and not name & MARKS for name in names):
         return MAIN
-    marks = MARKS - HEADINGS if outer == MAIN else MARKS
-    if tag in BOILERPLATE or (tag == "header" and outer != MAIN) or (words & marks and tag not in INLINE):
+    if tag in BOILERPLATE or (tag == "header" and outer not in (MAIN, INNER)) or (words & marks and tag not in INLINE):
         return OUT
     return outer
 
@@ -166,6 +175,16 @@ def lines(page: str) -> list[tuple[str, int, int]]:
 def main_text(page: str | None, window: int = WINDOW) -> str:
     """The text between surge and dive points, blocks joined by one space."""
     found = lines(page or "")
+    text = _surging([x for x in found if x[2] != INNER], window)
+    inner = [x for x in found if x[2] == INNER]
+    if inner and len(text) < SURGE:
+        other = _surging(inner, window)
+        if not text or len(other) >= SURGE:
+            return other
+    return text
+
+
+def _surging(found: list[tuple[str, int, int]], window: int) -> str:
     if not found:
         return ""
     weights = [len(t) * MARKED if kind != PLAIN else max(0, len(t) - 2 * links) for t, links, kind in found]

@@ -2,12 +2,31 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from streetlens.llm.extraction import main_text
 
 BODY = "".join(f"<p>Paragraph {i} of the body, which is long enough that the text surges here and stays.</p>" for i in range(4))
 TEXT = " ".join(f"Paragraph {i} of the body, which is long enough that the text surges here and stays." for i in range(4))
 
 
+@pytest.mark.parametrize("other", [
+    '<div class="main-menu"><a href=x>Home</a> and more</div>', '<div id="main-nav">Start of all pages</div>', '<section id="main-header">The site</section>',
+    '<aside class="related"><article><p>A teaser of another page that is long enough to be a surge by itself, if it counted.</p></article></aside>',
+    '<footer><div><article>Card</article></div></footer>', '<article class="related-promo">Buy this</article>',
+])
+def test_marks_do_not_promote(other):
+    for page in (f"{other}<div>{BODY}</div>", f"<div>{BODY}</div>{other}"):
+        assert main_text(f"<body>{page}</body>") == TEXT
+
+
+def test_wrapped_articles_stay():
+    for start, end in (("<form>", "</form>"), ('<div class="with-sidebar">', "</div>")):
+        assert main_text(f"{start}<article>{BODY}</article>{end}") == TEXT
+        assert main_text(f"{start}<main>{BODY}</main>{end}") == TEXT
+    assert main_text(f'<div class="main-content has-sidebar">{BODY}</div>') == TEXT
+
+
 def test_tags_do_not_decide_alone():
     """A small marked element does not take the place of the text that surges."""
     links = "<p><a href=x>A link</a></p>" * 5
