@@ -55,6 +55,39 @@ def test_search_matches_brute_force_with_copies_and_bad_rows(spark):
     assert [j for _, j, _ in sorted(by[0])] == [100, 101, 102, 103, 104]  # ties go to smaller ids
 
 
+def plain_nearest(rows, k=5):
+    """By fractions of exact squares and products: cosine as sign and square."""
+    from fractions import Fraction
+
+    out = {}
+    for i, a in rows:
+        if i % 50 == 0:
+            scored = []
+            for j, b in rows:
+                if j != i:
+                    dot = sum(Fraction(x) * Fraction(y) for x, y in zip(a, b, strict=True))
+                    square = dot * dot / (sum(Fraction(x) ** 2 for x in a) * sum(Fraction(x) ** 2 for x in b))
+                    scored.append((-square if dot > 0 else square, j))
+            out[i] = [j for _, j in sorted(scored)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("shard_rows", [8, 1000])
+def test_search_ties_and_norms(spark, shard_rows):
+    base = [1.0, 2.0, 4.0, 0.0]
+    rows = [(i, [x * 2.0**i for x in base]) for i in range(20)]  # multiples of one vector, in several shards
+    # unlike vectors of one cosine to the first axis
+    rows += [(100, [1.0, 0.0, 0.0, 0.0]), *((101 + i, [3.0 * 2.0**i, *np.roll([4.0, 0.0, 0.0], i % 3) * (-1.0) ** i * 2.0**i]) for i in range(24))]
+    rows += [(150, [1e-200, 2e-200, 4e-200, 0.0]), (151, [1e200, 2e200, 4e200, 0.0]), (200, [5e-324, 0.0, 0.0, 0.0]), (201, [1.7e308, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    by = {}
+    got = hnsw.search(df, F.col("vec_id") % 50 == 0, shard_rows=shard_rows, block_queries=2).collect()
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r.query_id, []).append(r.vec_id)
+        assert -1.000001 <= r.score <= 1.000001
+    assert by == plain_nearest([(i, v) for i, v in rows]) and by[0] == [1, 2, 3, 4, 5]
+
+
 def test_search_few_and_none(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert hnsw.search(empty, F.col("vec_id") % 50 == 0).count() == 0
