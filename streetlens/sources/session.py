@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -19,13 +23,33 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. A session in one process
+    that names none gets a temporary one, which goes with the driver; on a cluster a
+    machine's own folder would lose rows with the machine, so that none named is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, _LOCAL["folder"], ignore_errors=True)
+    return _LOCAL["folder"]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a file system that the session reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept by a reliable checkpoint in the folder that
-    the session names; a local session that names none gets a temporary one.
+    """The rows of df, computed once and kept by a reliable checkpoint in the shared folder.
 
     For small tables that several branches of a plan read, where the rows they come from
     are many: a plan would compute them again for each branch."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
