@@ -127,64 +127,82 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _ranges(ids: DataFrame, parts: int) -> tuple[list[int], list[tuple[int, int | None]]]:
-    """Lower bounds of ranges of descending ids, and of each range that has rows its
-    number and first id. Both lists are as long as there are partitions, at most."""
-    shares = [i / parts for i in range(1, parts)]
-    cut = ids.agg(F.percentile_approx("doc_id", shares, 10_000).alias("cut")).first()["cut"] if parts > 1 else []
-    bounds = sorted(set(cut or []))
-    ranged = ids.select("doc_id", _range_of(bounds)("doc_id").alias("part"))
-    found = ranged.groupBy("part").agg(F.max("doc_id").alias("first")).orderBy("part").collect()
-    return bounds, [(r["part"], r["first"]) for r in found]
-
-
-def _range_of(bounds: list[int]):
-    @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        # descending: the highest ids come first, ids that are null at the end
-        at = len(bounds) - np.searchsorted(np.array(bounds, np.int64), ids.fillna(0).to_numpy(np.int64), side="right")
-        return pd.Series(np.where(known, at, len(bounds)).astype(np.int32))
-
-    return part
+class Ranges:
+    """Ranges of rows in the order of descending id and then of a hash of the text, ids
+    that are null last. An id that many rows have is cut by the hash."""
+
+    def __init__(self, cut: list[int], nulls: int, hashes: int = 1 << 63):
+        """cut: ids at equal shares of the rows, repeated where an id has more of them;
+        nulls: bounds that fall on null ids."""
+        span = lambda n: [-hashes + 2 * hashes * (i + 1) // (n + 1) for i in range(n)]
+        self.ids = np.array(sorted(set(cut), reverse=True), np.int64)
+        # an id is a bound itself, and once more for each further share that it has
+        self.within = [np.array([-hashes, *span(cut.count(int(i)) - 1)], np.int64) for i in self.ids]
+        self.null = np.array(([-hashes] if len(cut) else []) + span(nulls), np.int64)
+        self.before = np.concatenate([[0], np.cumsum([len(w) for w in self.within], dtype=np.int64)])
+
+    def __len__(self) -> int:
+        return int(self.before[-1]) + len(self.null) + 1
+
+    def of(self, ids: np.ndarray, known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of bounds at or before each row."""
+        larger = len(self.ids) - np.searchsorted(self.ids[::-1], ids, side="right")
+        at = self.before[larger]
+        at[~known] = self.before[-1] + np.searchsorted(self.null, hashes[~known], side="right")
+        for i in np.flatnonzero(np.isin(self.ids, ids[known])):
+            rows = known & (ids == self.ids[i])
+            at[rows] += np.searchsorted(self.within[i], hashes[rows], side="right")
+        return at
 
 
 def with_next(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, text, kind, part) dealt by ranges of descending doc_id, and sorted.
+    """Rows (doc_id, text, kind, part) dealt by ranges of descending doc_id and a hash of
+    the text, and sorted.
 
     The last row of a range needs the first one of the next range (of the last range,
-    the first of all): rows with that id are sent there as well, as sentinels behind
-    the range's own rows. Only ids are aggregated, and texts are shuffled once."""
+    the first of all): rows like that one are sent there as well, as sentinels behind
+    the range's own rows. Only ids and hashes are aggregated, and texts are shuffled once."""
     parts = shuffle_partitions(df.sparkSession)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds, found = _ranges(rows.select("doc_id"), parts)
-    of, firsts = [p for p, _ in found], [f for _, f in found]
-    before = {of[i]: of[i - 1] for i in range(len(of))}  # the first range follows the last
-    nulls = None in firsts
-
-    @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        values = ids.fillna(0).to_numpy(np.int64)
-        known = ids.notna().to_numpy()
-        at = np.where(known, len(bounds) - np.searchsorted(np.array(bounds, np.int64), values, side="right"), len(bounds))
-        first = dict(zip(of, firsts, strict=True))
-        return pd.Series([[2 * p, 2 * before[p] + 1] if (first[p] == v if k else nulls and first[p] is None) else [2 * p] for p, v, k in zip(at.tolist(), values.tolist(), known.tolist(), strict=True)])
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    shares = [i / parts for i in range(1, parts)]
+    cut = F.percentile_approx("doc_id", shares, 10_000) if shares else F.lit(None)
+    found = rows.agg(cut.alias("cut"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known")).first()
+    nulls = round(parts * (found["n"] - found["known"]) / max(1, found["n"]))
+    ranges = Ranges(list(found["cut"] or [])[:: max(1, parts // max(1, parts - nulls))], max(0, nulls - 1))
 
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(ranges.of(ids.fillna(0).to_numpy(np.int64), ids.notna().to_numpy(), hashes.to_numpy(np.int64)).astype(np.int32))
+
+    placed = rows.withColumn("part", part_of("doc_id", "h"))
+    # the first row of each range: ~id ascends where id descends, and cannot overflow
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("down"), F.col("h"))
+    firsts = [(r["part"], r["first"]["none"], ~r["first"]["down"], r["first"]["h"]) for r in placed.select("part", order.alias("o")).groupBy("part").agg(F.min("o").alias("first")).collect()]
+    firsts.sort()
+    # of each range its first row's id and hash, and the range before it; the first follows the last
+    ends = [(p, none, i, h, firsts[k - 1][0]) for k, (p, none, i, h) in enumerate(firsts)]
+    entry = F.element_at(F.create_map(*[x for p, none, i, h, last in ends for x in (F.lit(p), F.struct(F.lit(none).alias("none"), F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("h"), F.lit(last).alias("last")))]), F.col("part")) if ends else None
+    own = F.struct(F.lit(OWN).alias("kind"), F.col("part").alias("part"))
+    places = F.array(own)
+    if ends:
+        is_first = (F.col("first.none") == F.col("doc_id").isNull()) & (F.col("first.none") | (F.col("first.id") == F.col("doc_id"))) & (F.col("first.h") == F.col("h"))
+        places = F.when(is_first, F.array(own, F.struct(F.lit(SENTINEL).alias("kind"), F.col("first.last").alias("part")))).otherwise(places)
+        placed = placed.withColumn("first", entry)
     return (
-        rows.withColumn("place", F.explode(places("doc_id")))
-        .select("doc_id", "text", (F.col("place") % 2).alias("kind"), F.shiftright("place", 1).alias("part"))
-        .repartitionById(max(1, len(bounds) + 1), F.col("part"))
-        .sortWithinPartitions("kind", F.col("doc_id").desc_nulls_last(), "text")
+        placed.withColumn("place", F.explode(places)).select("doc_id", "text", "h", "place.kind", "place.part")
+        .repartitionById(len(ranges), F.col("part"))
+        .sortWithinPartitions("kind", F.col("doc_id").desc_nulls_last(), "h", "text").drop("h")
     )
 
 
 def fingerprint_documents(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, words: int = WORDS) -> DataFrame:
     """The sketch of every whole text, and of the text after an edit: its last third
     replaced by the start of the next document by descending doc_id (after the last
-    the first; equal ids by text; null ids last).
+    the first; equal ids by a hash of the text; null ids last).
 
     Null texts are empty; an empty text has an empty sketch, like only to another
-    empty one; repeated rows follow each other; an empty table gives no rows; other
+    empty one; very long texts are read in whole, one at a time; repeated rows follow
+    each other; an empty table gives no rows; other
     columns are left out. Returns doc_id, n_chars, edited (text), sketch and
     edited_sketch (hex), near_edited, near_next, n_shingles, contained_edited."""
     small_batches(df.sparkSession)
@@ -204,6 +222,8 @@ def fingerprint_documents(df: DataFrame, *, doc_id: str = "doc_id", text: str =
         for batch in batches:
             for part in slices([batch]):
                 for number, body, kind in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if kind == SENTINEL and previous is None:
+                        continue
                     own = sketch(body, k, words)
                     if previous is not None:
                         of, was, its = previous

@@ -7,8 +7,9 @@ a text's chunks then meet (a task holds one text at a time, which one row held
 before), and each boundary list is followed until it meets one of the next chunk's
 list. If the overlap has no common boundary (one very long pre-token), splitting goes
 on from the last sure boundary until one is met, so the result is exact for any text.
-Pieces are encoded by themselves; frequent ones come from a bounded table.
-Decoding concatenates the bytes of the ids.
+A text of one chunk has nothing to stitch. Pieces are encoded by themselves, pairs of
+least rank merged first; frequent pieces come from a bounded table. Decoding
+concatenates the bytes of the ids.
 
 Ids are packed as little-endian unsigned 32-bit integers in a binary column
 (``numpy.frombuffer(ids, "<u4")``): a list column would cost as much again to move.
@@ -18,13 +19,14 @@ from __future__ import annotations
 
 import base64
 import re
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetlens.llm.common import map_slices, shuffle_partitions, slices
+from streetlens.llm.common import map_slices, shuffle_partitions, slices, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK_CHARS = 1 << 15
@@ -59,18 +61,58 @@ class _Pieces(dict):
         return packed
 
 
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a piece: of all neighbours, the pair of least rank becomes one part, the
+    first of equal ones, until no pair has a rank.
+
+    A part is known by its start; a heap holds rank and start of each pair in one number,
+    and a pair counts while its rank is still that of its start."""
+    whole = ranks.get(piece)
+    if whole is not None:
+        return [whole]
+    n = len(piece)
+    after = list(range(1, n + 2))  # start of the part behind, n at the end
+    before = list(range(-1, n))
+    pair = [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
+    todo = [r << 40 | i for i, r in enumerate(pair) if r >= 0]
+    heapify(todo)
+    while todo:
+        least = heappop(todo)
+        at = least & 0xFFFFFFFFFF
+        if pair[at] != least >> 40:
+            continue
+        gone = after[at]
+        end = after[at] = after[gone]
+        pair[gone] = -1
+        if end < n:
+            before[end] = at
+            r = pair[at] = ranks.get(piece[at : after[end]], -1)
+            if r >= 0:
+                heappush(todo, r << 40 | at)
+        else:
+            pair[at] = -1
+        left = before[at]
+        if left >= 0:
+            r = pair[left] = ranks.get(piece[left:end], -1)
+            if r >= 0:
+                heappush(todo, r << 40 | left)
+    out = []
+    at = 0
+    while at < n:
+        out.append(ranks[piece[at : after[at]]])
+        at = after[at]
+    return out
+
+
 class Codec:
     def __init__(self, path: str, pattern: str):
-        import tiktoken
-
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
         self.split = re.compile(_python_pattern(pattern))
-        self.pieces = _Pieces(own._core_bpe.encode_single_piece)
+        self.pieces = _Pieces(lambda piece: merge(piece, ranks))
 
     def encode_pieces(self, pieces: list[str]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, pieces))
@@ -158,8 +200,9 @@ def encode(
 ) -> DataFrame:
     """Token ids of every whole text.
 
-    Null and empty texts have no ids; repeated rows stay repeated; an empty table
-    gives no rows; other columns are left out. Texts are ordinary text, whatever
+    Null and empty texts have no ids; a very long text is cut in one pass and spread over
+    tasks; repeated rows stay repeated; pairs of equal rank merge from the left; an empty
+    table gives no rows; other columns are left out. Texts are ordinary text, whatever
     special tokens they spell. With `decoded`, the ids are decoded again as well.
     Returns doc_id, n_tokens, ids (packed), and decoded (binary) if asked for."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -177,40 +220,49 @@ def encode(
 
     short = map_slices(rows.where(F.length("text") <= chunk_chars), per_slice, schema)
 
-    n_chunks = F.ceil(F.length("text") / chunk_chars).cast("int")
-    chunks = (
-        rows.where(F.length("text") > chunk_chars)
-        .withColumn("key", F.sha2("text", 256))
-        .withColumn("of", n_chunks)
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-        .select("doc_id", F.expr(f"substring(text, chunk * {chunk_chars} + 1, {chunk_chars + overlap_chars})").alias("text"), "key", "of", "chunk")
-        .repartition(shuffle_partitions(df.sparkSession), "key", "doc_id", "chunk")
-    )
+    # rows that are equal are one, with their number
+    whole = rows.where(F.length("text") > chunk_chars).groupBy("doc_id", F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+
+    def cut(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                number, key, copies = (batch.column(c)[i].as_py() for c in (0, 1, 3))
+                body = batch.column(2)[i].as_py()
+                of = -(-len(body) // chunk_chars)
+                parts = [body[at : at + chunk_chars + overlap_chars] for at in range(0, len(body), chunk_chars)]
+                same = lambda x, kind: pa.array([x] * of, kind)
+                yield pa.RecordBatch.from_arrays(
+                    [same(number, pa.int64()), pa.array(parts, pa.string()), same(key, pa.string()), same(copies, pa.int64()), same(of, pa.int32()), pa.array(range(of), pa.int32())],
+                    names=["doc_id", "text", "key", "copies", "of", "chunk"],
+                )
+
+    small_batches(df.sparkSession)
+    chunks = whole.select("doc_id", "key", "text", "copies").mapInArrow(cut, "doc_id long, text string, key string, copies long, of int, chunk int")
+    chunks = chunks.repartition(shuffle_partitions(df.sparkSession), "key", "doc_id", "chunk")
 
     def split_chunks(batches):
         own = codec(path, pattern)
         for batch in batches:
             for part in slices([batch]):
-                at = zip(part.column(1).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
+                at = zip(part.column(1).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)
                 found = [np.array(chunk_boundaries(own.split, t, i * chunk_chars, i == of - 1), "<i4").tobytes() for t, of, i in at]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=["doc_id", "text", "key", "of", "chunk", "boundaries"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=["doc_id", "text", "key", "copies", "of", "chunk", "boundaries"])
 
-    split_up = chunks.mapInArrow(split_chunks, "doc_id long, text string, key string, of int, chunk int, boundaries binary")
+    split_up = chunks.mapInArrow(split_chunks, "doc_id long, text string, key string, copies long, of int, chunk int, boundaries binary")
 
     def join_chunks(group: pa.Table) -> pa.Table:
         own = codec(path, pattern)
         rows_in = sorted(zip(group["chunk"].to_pylist(), group["text"].to_pylist(), group["boundaries"].to_pylist(), strict=True), key=lambda r: r[0])
-        copies = sum(1 for r in rows_in if r[0] == 0)
-        rows_in = rows_in[::copies]
         whole = "".join(t[:chunk_chars] for _, t, _ in rows_in[:-1]) + rows_in[-1][1]
         ends = stitch(own.split, whole, [np.frombuffer(b, "<i4").tolist() for _, _, b in rows_in], chunk_chars)
         ids = own.encode_pieces([whole[a:b] for a, b in zip(ends, ends[1:], strict=False)])
-        columns = [pa.array([group["doc_id"][0].as_py()] * copies, pa.int64()), pa.array([len(ids) // 4] * copies, pa.int64()), pa.array([ids] * copies, pa.binary())]
+        columns = [pa.array([group["doc_id"][0].as_py()], pa.int64()), pa.array([len(ids) // 4], pa.int64()), pa.array([ids], pa.binary())]
         if decoded:
-            columns.append(pa.array([own.decode(ids)] * copies, pa.binary()))
-        return pa.table(columns, names=["doc_id", "n_tokens", "ids", "decoded"][: 3 + decoded])
+            columns.append(pa.array([own.decode(ids)], pa.binary()))
+        return pa.table([*columns, group["copies"][:1]], names=[*["doc_id", "n_tokens", "ids", "decoded"][: 3 + decoded], "copies"])
 
-    long = split_up.groupBy("doc_id", "key").applyInArrow(join_chunks, schema)
+    long = split_up.groupBy("doc_id", "key").applyInArrow(join_chunks, f"{schema}, copies long")
+    long = long.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
     return short.unionByName(long)
 
 

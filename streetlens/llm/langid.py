@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetlens.llm.common import id_crc, map_slices, small_batches
@@ -25,8 +25,9 @@ N = 4
 HASHES = 3
 #: Positions of the filters: 4 MB with up to eight languages.
 POSITIONS = 1 << 22
-#: The bound of the fit: about so many labelled documents of each language are read,
-#: out of those of at most so many characters.
+#: The bound of the fit: so many labelled documents of each language are read at most,
+#: out of those of at most so many characters: short and middling texts teach, long ones
+#: are judged only.
 TRAIN_DOCS, TRAIN_CHARS = 600, 40_000
 #: An n-gram belongs to a language that has it at least this often next to the one that has it most often.
 MIN_RATIO = 0.2
@@ -83,6 +84,31 @@ def ngrams(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return grams[any_letter], same[any_letter]
 
 
+def long_ngrams(text: str, n: int = N, at_once: int | None = None) -> Iterator[np.ndarray]:
+    """The n-grams of one text as `ngrams` has them, from runs of its characters: a run
+    takes up the last n - 1 characters that count of the one before."""
+    at_once = at_once or RUN_CHARS
+    tail = np.full(n - 1, 32, np.uint32)
+    after_letter = False
+    for at in range(0, max(1, len(text)), at_once):
+        codes = _letters()[np.frombuffer(text[at : at + at_once].encode("utf-32-le", "surrogatepass"), "<u4")]
+        letter = codes != 32
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        if len(keep):
+            keep[0] |= after_letter
+            after_letter = bool(letter[-1])
+        codes = np.concatenate([tail, codes[keep], np.full((n - 1) * (at + at_once >= len(text)), 32, np.uint32)])
+        m = max(0, len(codes) - n + 1)
+        grams, any_letter = codes[:m].astype(np.uint64), codes[:m] != 32
+        for i in range(1, n):
+            grams *= np.uint64(0x100000001B3)
+            grams += codes[i : i + m]
+            any_letter |= codes[i : i + m] != 32
+        yield grams[any_letter]
+        tail = codes[len(codes) - (n - 1) :]
+
+
 def positions(grams: np.ndarray, size: int = POSITIONS) -> list[np.ndarray]:
     out = []
     for m in _MIX[:HASHES]:
@@ -126,8 +152,10 @@ class Filters:
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the n-grams that each language contains, and all n-grams."""
-        n, k = len(texts), len(self.languages)
-        grams, owner = ngrams(texts)
+        return self._tally(*ngrams(texts), len(texts))
+
+    def _tally(self, grams: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        k = len(self.languages)
         total = np.bincount(owner, minlength=n).astype(float)
         words = self.table[(at := positions(grams, len(self.table)))[0]]
         for more in at[1:]:
@@ -143,17 +171,21 @@ class Filters:
         n, k = len(texts), len(self.languages)
         if not n or not k:
             return [UNKNOWN] * n, [0.0] * n
-        parts = [(i, t[at : at + RUN_CHARS]) for i, t in enumerate(texts) for at in range(0, max(1, len(t)), RUN_CHARS)]
         hits, total = np.zeros((n, k)), np.zeros(n)
-        start = held = 0
-        for j, (_, t) in enumerate([*parts, (0, "")]):
-            if j == len(parts) or (held and held + len(t) > RUN_CHARS):
-                some, every = self.counts([p for _, p in parts[start:j]])
-                of = np.array([i for i, _ in parts[start:j]])
-                np.add.at(hits, of, some)
-                np.add.at(total, of, every)
-                start, held = j, 0
-            held += len(t)
+        run: list[int] = []
+        held = 0
+        for i, t in enumerate([*texts, ""]):
+            if run and (i == n or held + len(t) > RUN_CHARS):
+                hits[run], total[run] = self.counts([texts[j] for j in run])
+                run, held = [], 0
+            if i < n and len(t) <= RUN_CHARS:
+                run.append(i)
+                held += len(t)
+            elif i < n:
+                for grams in long_ngrams(t):
+                    some, every = self._tally(grams, np.zeros(len(grams), np.int64), 1)
+                    hits[i] += some[0]
+                    total[i] += every[0]
         rate = hits / np.maximum(total, 1)[:, None]
         true = np.clip((rate - self.false_positive) / np.maximum(1 - self.false_positive, 1e-9), 0, 1)
         best = true.argmax(axis=1)
@@ -163,21 +195,25 @@ class Filters:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0).tolist()
 
 
-def training_rows(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS) -> dict[str, list[str]]:
-    """Whole texts of about `docs` documents of each language that the fit may see (the
-    crc32 of the id modulo 4 is not 2), chosen by a hash of the id."""
-    seen = df.where(F.col(lang).isNotNull() & (F.length(text) <= TRAIN_CHARS) & (id_crc(doc_id) % 4 != 2))
+def training_rows(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict[str, list[str]]:
+    """Whole texts of at most `docs` documents of each language that the fit may see (the
+    crc32 of the id modulo 4 is not 2) and that have at most `chars` characters, chosen by
+    a hash of id and text; repeated rows count once. The plan itself holds the bound,
+    whatever ids and texts are."""
+    seen = df.where(F.col(lang).isNotNull() & (F.length(text) <= chars) & (id_crc(doc_id) % 4 != 2)).select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # languages are few: a table of more than the filters can hold is refused by fit
-    counts = {r[0]: r[1] for r in seen.groupBy(lang).count().limit(65).collect()}
+    drawn = F.xxhash64("doc_id", "text", F.lit("language"))
+    counts = {r[0]: r[1] for r in seen.groupBy("lang").agg(F.approx_count_distinct(drawn)).limit(65).collect()}
     if not counts:
         return {}
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, docs / n)))])
-    rows = seen.where(draw < F.element_at(share, F.col(lang))).select(lang, doc_id, text).collect()
+    # twice as many as are wanted pass a first draw, so that few texts are compared
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, (2 * docs + 100) / n)))])
+    likely = seen.withColumn("draw", drawn).where(F.pmod(F.col("draw"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.element_at(share, F.col("lang")))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
+    rows = likely.distinct().withColumn("nth", nth).where(F.col("nth") <= docs).select("lang", "nth", "text").collect()
     found: dict[str, list[str]] = {k: [] for k in counts}
-    for r in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2])):
-        if len(found[r[0]]) < 2 * docs:
-            found[r[0]].append(r[2])
+    for r in sorted(rows, key=lambda r: (r[0], r[1])):
+        found[r[0]].append(r[2])
     return found
 
 
@@ -199,8 +235,10 @@ def identify(df: DataFrame, filters: Filters, *, doc_id: str = "doc_id", text: s
     """The language of every whole text.
 
     Texts that are null or have no letter get ``und`` and 0; with no learned language
-    all do; repeated rows are judged alike; an empty table gives no rows; other
-    columns are left out. Returns doc_id, held_out, lang_pred, score."""
+    all do; languages that tie go to the first by name; very long texts are counted in
+    runs whose n-grams are those of the whole; repeated rows are judged alike; an empty
+    table gives no rows; other columns are left out. A fit of more than 64 languages is
+    an error. Returns doc_id, held_out, lang_pred, score."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (id_crc(doc_id) % 4 == 2).alias("held_out"))
     # of a fixed size: POSITIONS words of the filters
     shared = df.sparkSession.sparkContext.broadcast(filters)

@@ -19,11 +19,10 @@ import dataclasses
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streetlens.llm.common import shuffle_partitions
-
 SEED = 20_011
-#: Hash buckets of a shard in which slots are numbered apart from each other.
-SLOT_BUCKETS_PER_PARTITION = 4
+#: Hash buckets of a shard in which slots are numbered apart from each other, and rows
+#: that are numbered in one piece where many are equal.
+SLOT_BUCKETS, PIECE = 1024, 8192
 
 
 @dataclasses.dataclass(frozen=True)
@@ -93,34 +92,35 @@ def assign(df: DataFrame, key: str, tree: list[Leaf], prefix: str = "", seed: in
     )
 
 
-def with_slots(df: DataFrame, shard: str, order: list[Column], slot: str = "slot") -> DataFrame:
+def with_slots(df: DataFrame, shard: str, order: list[str], slot: str = "slot") -> DataFrame:
     """Number the rows of each shard from 0 without gaps.
 
     A shard may hold any share of the rows, so it is cut into hash buckets that are
     numbered apart; a bucket's offset is the count of the buckets before it, from a
-    table of shards times buckets rows. Rows equal in all of `order` are alike."""
-    buckets = SLOT_BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession)
-    cut = df.withColumn("__bucket", F.pmod(F.xxhash64(*order, F.lit("slot")), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy("__of").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(F.col(shard).alias("__of"), F.col("__bucket").alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
-        .select("__of", "__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    )
-    within = Window.partitionBy(shard, "__bucket").orderBy(*order)
-    return (
-        cut.withColumn("__rank", F.row_number().over(within))
-        .join(offsets, (F.col(shard) == F.col("__of")) & (F.col("__bucket") == F.col("__at")))
-        .withColumn(slot, F.col("__before") + F.col("__rank") - 1)
-        .drop("__bucket", "__rank", "__of", "__at", "__before")
-    )
+    table of shards times buckets rows. Rows that are equal in all columns are counted
+    first, numbered as one and repeated at the end. `order` names columns that tell
+    different rows of a shard apart. Slots depend on the rows only."""
+    names = df.columns
+    counted = df.select(F.struct("*").alias("row"), F.col(shard).alias("of"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    keys = [f"o{i}" for i in range(len(order))]
+    counted = counted.groupBy("of", *keys, "row").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.pmod(F.xxhash64(*keys, F.lit("slot")), F.lit(SLOT_BUCKETS)).cast("int"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.groupBy("of", "at").agg(F.sum("n").alias("n"))
+    offsets = offsets.select(F.col("of").alias("b_of"), F.col("at").alias("b_at"), F.coalesce(F.sum("n").over(before(Window.partitionBy("of").orderBy("at"))), F.lit(0)).alias("offset"))
+    within = before(Window.partitionBy("of", "at").orderBy(*keys))
+    placed = counted.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets, F.col("of").eqNullSafe(F.col("b_of")) & (F.col("at") == F.col("b_at")))
+    pieces = placed.select("row", "n", (F.col("offset") + F.col("within")).alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))).alias("from"))
+    to = F.least(F.col("from") + PIECE, F.col("n")) - 1
+    return pieces.select("row", F.explode(F.sequence(F.col("start") + F.col("from"), F.col("start") + to)).alias("slot")).select(*[F.col("row")[c].alias(c) for c in names], F.col("slot").alias(slot))
 
 
 def shard_documents(df: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
     """Each row's shard out of `shards`, and its shard with one more.
 
     Law ``key``: key and shard count decide. Null keys are one key, null texts count
-    8 bytes and have no crc32, repeated rows share a shard and take slots of their
-    own, an empty table gives no rows, other columns are left out.
+    8 bytes and have no crc32, of very long texts size and crc32 only are kept, repeated
+    rows share a shard and take slots of their own, of equal draws the smaller name
+    wins, an empty table gives no rows, other columns are left out.
     Returns key, size, text_crc32, law, region, rack, shard, slot, grown_shard."""
     tree = uniform_tree(shards)
     rows = df.select(
@@ -130,5 +130,5 @@ def shard_documents(df: DataFrame, shards: int, *, key: str = "doc_id", text: st
         F.lit("key").alias("law"),
     )
     grown = assign(assign(rows, "doc_id", tree, seed=seed), "doc_id", with_shard(tree), prefix="grown_", seed=seed)
-    numbered = with_slots(grown, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    numbered = with_slots(grown, "shard", ["doc_id", "text_crc32", "size"])
     return numbered.select("doc_id", "size", "text_crc32", "law", "region", "rack", "shard", "slot", "grown_shard")

@@ -3,9 +3,10 @@
 Fingerprints that differ in at most two bits agree in at least six of eight bytes, so
 each distinct fingerprint goes to one shard for each of the 28 choices of six bytes.
 A shard's fingerprints differ in the two other bytes only: it holds 65,536 at most,
-whatever the corpus, since copies have been collapsed. In a shard a BK-tree is built
+whatever the corpus, since copies have been collapsed. For each shard a BK-tree is built
 (children keyed by integer Hamming distance to the parent); every fingerprint is
-searched for in it, following edges within the radius only. Two fingerprints within
+searched for in it, following edges within the radius only. Trees of many shards are
+flat arrays that are built and searched together, a level at a time. Two fingerprints within
 the radius share a shard, so no link is lost; a shard returns a spanning star of each
 of its linked sets instead of all pairs, which is as good for components. The trees
 stay where their shard is, with its queries: a broadcast of all trees would grow with
@@ -23,15 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streetlens.llm.common import checkpointed, map_slices
+from streetlens.llm.common import checkpointed, map_slices, shuffle_partitions
 from streetlens.llm.components import connected
 
 RADIUS = 2
 WORDS = 3
 SEED = 42
 BLOCKS = 8
-#: Shards under this size are linked by the plain tree, larger ones by numpy.
-SMALL = 24
 #: Shingles of a text whose bits are counted at a time.
 COUNTED = 1 << 15
 #: Pairs of query and node that a search holds at a time.
@@ -78,74 +77,48 @@ def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-class BKTree:
-    """A tree over distinct unsigned integers; children by distance to the parent."""
-
-    def __init__(self):
-        self.nodes: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def add(self, value: int) -> int:
-        self.nodes.append(value)
-        self.children.append({})
-        new = len(self.nodes) - 1
-        at = 0
-        while new:
-            d = (self.nodes[at] ^ value).bit_count()
-            nxt = self.children[at].get(d)
-            if nxt is None:
-                self.children[at][d] = new
-                break
-            at = nxt
-        return new
-
-    def within(self, value: int, radius: int) -> Iterator[int]:
-        todo = [0] if self.nodes else []
-        while todo:
-            at = todo.pop()
-            d = (self.nodes[at] ^ value).bit_count()
-            if d <= radius:
-                yield at
-            todo += [c for e, c in self.children[at].items() if d - radius <= e <= d + radius]
-
-
-def _flat_tree(values: np.ndarray) -> np.ndarray:
-    """The same tree as a table of node by distance to child, or -1, built a level at a time."""
-    n = len(values)
-    child = np.full((n, 65), -1, np.int32)
-    item, at = np.arange(1, n), np.zeros(n - 1, np.int64)
-    while len(item):
-        d = np.bitwise_count(values[item] ^ values[at]).astype(np.int64)
-        slot = at * 65 + d
-        _, first = np.unique(slot, return_index=True)
-        child.reshape(-1)[slot[first]] = item[first]
-        rest = np.ones(len(item), bool)
-        rest[first] = False
-        item, at = item[rest], child.reshape(-1)[slot[rest]].astype(np.int64)
-    return child
-
-
-def _links(values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    child = _flat_tree(values)
-    steps = np.arange(-radius, radius + 1)
-    block = max(1, FRONTIER // len(values))
-    for start in range(0, len(values), block):
-        q = np.arange(start, min(start + block, len(values)))
-        at = np.zeros(len(q), np.int64)
-        while len(q):
-            d = np.bitwise_count(values[q] ^ values[at]).astype(np.int64)
-            near = (d <= radius) & (at < q)
-            if near.any():
-                yield q[near], at[near]
-            edges = d[:, None] + steps
-            nxt = np.where((edges >= 0) & (edges <= 64), child[at[:, None], np.clip(edges, 0, 64)], -1)
-            keep = nxt >= 0
-            q, at = np.repeat(q, keep.sum(axis=1)), nxt[keep].astype(np.int64)
-
-
-def link(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Stars (member, smallest) of the sets that links within the radius form."""
-    values = sorted(values)
+class BKForest:
+    """BK-trees over the distinct unsigned integers of shards, one tree for each: a table
+    of node by distance to child, or -1. A shard's first value is its root."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        self.values = values
+        firsts = np.cumsum(sizes) - sizes
+        self.root = np.repeat(firsts, sizes)
+        self.child = np.full((len(values), 65), -1, np.int32)
+        flat = self.child.reshape(-1)
+        item = np.delete(np.arange(len(values)), firsts)
+        at = self.root[item]
+        while len(item):
+            slot = at * 65 + np.bitwise_count(values[item] ^ values[at])
+            _, first = np.unique(slot, return_index=True)
+            flat[slot[first]] = item[first]
+            rest = np.ones(len(item), bool)
+            rest[first] = False
+            item, at = item[rest], flat[slot[rest]].astype(np.int64)
+
+    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (value, earlier value of its shard) within the radius, by number."""
+        values, steps = self.values, np.arange(-radius, radius + 1)
+        # a search holds at most as many nodes as its tree has
+        load = np.cumsum(np.bincount(self.root, minlength=len(values))[self.root]) // FRONTIER
+        for q in np.split(np.arange(len(values)), np.flatnonzero(np.diff(load)) + 1):
+            at = self.root[q]
+            while len(q):
+                d = np.bitwise_count(values[q] ^ values[at]).astype(np.int64)
+                near = (d <= radius) & (at < q)
+                if near.any():
+                    yield q[near], at[near]
+                edges = d[:, None] + steps
+                nxt = np.where((edges >= 0) & (edges <= 64), self.child[at[:, None], np.clip(edges, 0, 64)], -1)
+                keep = nxt >= 0
+                q, at = np.repeat(q, keep.sum(axis=1)), nxt[keep].astype(np.int64)
+
+
+def link_shards(shards: list[list[int]], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Stars (member, smallest) of the sets that links within the radius form in shards
+    of distinct signed longs."""
+    values = np.array([v for s in shards for v in sorted(s)], np.int64)
     parent = list(range(len(values)))
 
     def root(i: int) -> int:
@@ -154,23 +127,16 @@ def link(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    def join(a: int, b: int) -> None:
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-
-    unsigned = [v & 0xFFFFFFFFFFFFFFFF for v in values]
-    if len(values) < SMALL:
-        tree = BKTree()
-        for i, v in enumerate(unsigned):
-            for other in tree.within(v, radius):
-                join(i, other)
-            tree.add(v)
-    else:
-        for a, b in _links(np.array(unsigned, np.uint64), radius):
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                join(x, y)
-    return [(values[i], values[r]) for i in range(len(values)) if (r := root(i)) != i]
+    for a, b in BKForest(values.view(np.uint64), np.array([len(s) for s in shards if s])).links(radius):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    return [(int(values[i]), int(values[r])) for i in range(len(values)) if (r := root(i)) != i]
+
+
+def link(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+    return link_shards([values], radius)
 
 
 def shard_masks(radius: int = RADIUS) -> list[int]:
@@ -186,7 +152,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Spanning links (u, v) of a table of distinct fingerprints (fp)."""
     masks = F.array(*[F.struct(F.lit(i).cast("byte").alias("i"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(shard_masks(radius))])
     shards = (
-        fps.select("fp", F.explode(masks).alias("m"))
+        fps.repartition(shuffle_partitions(fps.sparkSession), "fp")  # dealt in full width before there are 28 times as many
+        .select("fp", F.explode(masks).alias("m"))
         .select("fp", F.col("m.i").alias("i"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("common"))
         .groupBy("i", "common").agg(F.collect_list("fp").alias("members"))
         .where(F.size("members") > 1)
@@ -195,7 +162,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stars = [s for members in batch.column(0).to_pylist() for s in link(members, radius)]
+            stars = link_shards(batch.column(0).to_pylist(), radius)
             yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     return shards.mapInArrow(run, "u long, v long")
@@ -205,7 +172,8 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """Every row's component of fingerprints linked within the radius.
 
     Null, empty and white texts have fingerprint 0, linked like any other; texts of
-    fewer words than a shingle are one shingle; repeated rows and equal texts share a
+    fewer words than a shingle are one shingle; very long texts are counted in runs; a
+    bit that is set in just half of the hashes is 0; a component's id is the smallest; repeated rows and equal texts share a
     component; a null doc_id counts as a component's id only if it has no other; an
     empty table gives no rows; other columns are left out.
     Returns doc_id, text_key, fp, component_id and kept (the doc_id and text_key of the
@@ -221,10 +189,12 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 
 def only(df: DataFrame, kept: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of df for each doc_id and text_key of kept."""
-    keyed = df.withColumn("__text_key", F.xxhash64(text)).withColumn("__doc_key", F.coalesce(F.col(doc_id).cast("string"), F.lit("\0null")))
-    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null")).alias("__doc_key"), F.col("text_key").alias("__text_key"))
-    return keyed.join(kept, ["__doc_key", "__text_key"], "left_semi").dropDuplicates(["__doc_key", "__text_key"]).drop("__doc_key", "__text_key")
+    """One row of df for each doc_id and text_key of kept. Rows travel in a struct, so
+    that their columns may have any names."""
+    as_text = lambda c: F.coalesce(c.cast("string"), F.lit("\0null"))
+    keyed = df.select(F.struct("*").alias("row"), F.xxhash64(text).alias("text_key"), as_text(F.col(doc_id)).alias("doc_key"))
+    kept = kept.select(as_text(F.col("doc_id")).alias("doc_key"), "text_key")
+    return keyed.join(kept, ["doc_key", "text_key"], "left_semi").dropDuplicates(["doc_key", "text_key"]).select("row.*")
 
 
 def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:

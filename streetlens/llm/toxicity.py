@@ -1,8 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word enters as its own hashed embedding and as the mean of the embeddings of its
-character n-grams, so that inflected forms are met by their stems; a word of over 40
-characters, or text without spaces, enters in overlapping pieces. The network reads
+A word enters as its own hashed embedding and as the sum of the embeddings of its
+character n-grams over the root of their number, so that inflected forms are met by
+their stems; a word of over 40 characters, or text without spaces, enters in
+overlapping pieces. The network reads
 overlapping windows of words in both directions; attention pools the states of a
 window, and a text's score is that of its worst window. It is trained in numpy on the
 driver, on a bounded sample of labelled documents. Labels are of whole texts, so each
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetlens.llm.common import id_crc, map_slices, small_batches
@@ -37,8 +38,8 @@ EPOCHS, UPDATES = 8, 240
 BATCH = 192
 #: Chance that an update sees a word's own embedding besides its n-grams.
 MET = 0.5
-#: The bound of the fit: about so many labelled documents of each label are read,
-#: out of those of at most so many characters.
+#: The bound of the fit: so many labelled documents of each label are read at most, out
+#: of those of at most so many characters: long texts are scored, but teach nothing.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 40_000
 #: Words whose inputs a Python worker remembers; the table starts anew when full.
 REMEMBERED = 200_000
@@ -398,18 +399,20 @@ def _adagrad(table: np.ndarray, seen: np.ndarray, at: np.ndarray, grad: np.ndarr
     table[rows] -= rate * total / np.sqrt(seen[rows])[:, None]
 
 
-def training_rows(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and labels that the fit may see (crc32 of the id modulo 3 is not 1), about
-    TRAIN_TOXIC and TRAIN_CLEAN of them, chosen by a hash of the id."""
-    bound = {1: TRAIN_TOXIC, 0: TRAIN_CLEAN}
-    seen = labels.where("toxic in (0, 1) and doc_id is not null").where(id_crc("doc_id") % 3 != 1).groupBy(F.col("doc_id").alias("__of")).agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in seen.groupBy("toxic").count().collect()}
-    draw = F.pmod(F.xxhash64(F.col("__of"), F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = seen.where(F.when(F.col("toxic") == 1, draw < min(1.0, bound[1] / max(1, counts.get(1, 0)))).otherwise(draw < min(1.0, bound[0] / max(1, counts.get(0, 0)))))
-    # the draw bounds the sample, so that it may be broadcast
-    rows = df.where(F.length(text) <= TRAIN_CHARS).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__id") == F.col("__of")).select("__id", "__text", "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    return [r[1] for r in rows], [r[2] for r in rows]
+def training_rows(
+    df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, chars: int = TRAIN_CHARS,
+) -> tuple[list[str], list[int]]:
+    """Texts and labels that the fit may see (crc32 of the id modulo 3 is not 1): at most
+    `toxic` and `clean` ids of the two labels, chosen by a hash, and as many texts of at
+    most `chars` characters. The plan itself holds the bounds, whatever ids and texts are."""
+    seen = labels.where("toxic in (0, 1) and doc_id is not null").where(id_crc("doc_id") % 3 != 1).groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").alias("toxic"))
+    some = lambda label, n: seen.where(F.col("toxic") == label).orderBy(F.xxhash64("of", F.lit("toxicity")), "of").limit(n)
+    chosen = some(1, toxic).unionByName(some(0, clean))  # bounded by its limits, so that it may be broadcast
+    rows = df.where(F.length(text) <= chars).select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("of")).select("id", "text", "toxic")
+    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id", "text"), "id", "text"))
+    bound = F.when(F.col("toxic") == 1, F.lit(toxic)).otherwise(F.lit(clean))
+    found = sorted(rows.distinct().withColumn("nth", nth).where(F.col("nth") <= bound).select("id", "text", "toxic").collect(), key=lambda r: (r[0], r[1]))
+    return [r[1] for r in found], [r[2] for r in found]
 
 
 def _in_runs(own: Scorer, texts: list[str]) -> list[float]:
@@ -439,9 +442,10 @@ def score_of(df: DataFrame, network: Network, text: str = "text") -> Column:
 def score(df: DataFrame, network: Network, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The toxicity of every whole text.
 
-    Null, empty and white texts have no window and score 0; repeated rows are judged
-    alike; an empty table gives no rows; other columns are left out.
-    Returns doc_id, held_out, score, predicted."""
+    Null, empty and white texts have no window and score 0; very long texts have all
+    their windows scored, some texts at a time; repeated rows are judged alike, so that
+    there are no ties to settle; an empty table gives no rows; other columns are left
+    out. Returns doc_id, held_out, score, predicted."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (id_crc(doc_id) % 3 == 1).alias("held_out"))
     # of a fixed size: WORD_ROWS and GRAM_ROWS embeddings
     shared = df.sparkSession.sparkContext.broadcast(network)

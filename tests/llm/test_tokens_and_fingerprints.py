@@ -154,7 +154,8 @@ def test_fingerprint_documents(spark):
     rows += [(100, None), (101, "é" * 10), (50, rows[[r[0] for r in rows].index(50)][1]), (None, "null id")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_chars int")
     got = bottom_k.fingerprint_documents(df).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    hashed = {r.t: r.h for r in spark.createDataFrame([(r[1] or "",) for r in rows], "t string").selectExpr("t", "xxhash64(t) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1] or ""]))
     want = []
     for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
         t, nxt = t or "", nxt or ""
