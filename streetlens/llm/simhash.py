@@ -16,7 +16,7 @@ the corpus.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -51,12 +51,16 @@ def fingerprint(text: str | None, words: int = WORDS) -> bytes:
     starts = [0, *(e + 1 for e in ends)]
     digest = xxhash.xxh64_digest
     spans = list(zip(starts, ends[words - 1 :], strict=False))
+    return majority((b"".join([digest(joined[a:b], SEED) for a, b in spans[i : i + COUNTED]]) for i in range(0, len(spans), COUNTED)), len(spans))
+
+
+def majority(runs: Iterable[bytes], n: int) -> bytes:
+    """The bits that over half of n hashes have, which come in runs of 8 bytes each."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, len(spans), COUNTED):
-        hashes = b"".join([digest(joined[a:b], SEED) for a, b in spans[i : i + COUNTED]])
+    for hashes in runs:
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
         ones += np.add.reduce(bits, axis=0, dtype=np.uint32)
-    return np.packbits(ones * 2 > len(spans)).tobytes()
+    return np.packbits(ones * 2 > n).tobytes()
 
 
 def fingerprints(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

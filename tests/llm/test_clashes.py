@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from streetlens.llm import bottom_k, byte_bpe, extraction, hnsw, langid, licences, mixing, sharding, simhash, toxicity
 
-NAMES = (
+NAMES = tuple(dict.fromkeys((
     "size score fp kept row u v key toxic count draw share path dir w chunk of ids n_tokens rank shard slot law target taken source_size copies copy root first m common "
     "held_out predicted lang_pred label told line is_file x square best at near part place kind edited sketch block asked graph shards nth dim boundaries decoded text_key component_id "
     "__language __doc_key __text_key __id __key __of __order __bucket language doc_key key id run hub band next h first h2 o0 n offset within start from"
-).split()
+).split()))
 
 
 @pytest.fixture(scope="module")
