@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import html
 import re
+import time
 
 import pytest
 
@@ -41,3 +43,26 @@ def test_line_blocks_without_tags(spark, sf):
 def test_raw_elements_behind_letters_that_lower_longer():
     page = "<p>" + "\u0130" * 60 + "</p><SCRIPT>x</Script><p>kept</p><p>and this one</p>"
     assert main_text(page) == "\u0130" * 60 + " kept and this one"
+
+
+def test_names_only_weigh():
+    """No name takes a whole article away, and renamed classes leave what surges."""
+    for name in ("search-guide", "related-work", "ad", "header", "comment-law"):
+        assert main_text(f"<body><nav><a href=x>Home</a></nav><div class='{name}'>{BODY}</div><footer>Imprint</footer></body>") == TEXT
+    assert main_text(f"<div class='ad'>Buy this now.</div><article>{BODY}<div class='share'>Share it</div><p>End.</p></article><div class='comments'>{BODY}</div>") == f"{TEXT} End."
+    assert main_text(f"<div class='qx1'>Buy this now.</div><div class='qx2'><h1>Head</h1>{BODY}</div>") == f"Head {TEXT}"
+
+
+@pytest.mark.parametrize("renamed", [lambda h: h, lambda h: re.sub("<(/?)article>", r"<\1div>", h), lambda h: re.sub('class="[^"]*"', 'class="q7"', h)])
+def test_pages_with_other_names(spark, sf, renamed):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        article = re.search("<article>.*</article>", r.html, re.DOTALL)[0]
+        text = " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", article))).split())
+        assert main_text(renamed(r.html)) == text
+
+
+def test_unclosed_markup_takes_linear_time():
+    page = "<div>" * 60_000 + "x" + "</section>" * 60_000 + BODY
+    start = time.perf_counter()
+    assert main_text(page).endswith(TEXT)
+    assert time.perf_counter() - start < 3
