@@ -183,6 +183,28 @@ def test_licences_inherit(spark):
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string, path string")).count() == 0
 
 
+def test_altered_wording(spark):
+    """Cosines under 1, wrapped files, order of ties, and own templates."""
+    import textwrap
+
+    of = {n: t for n, t in reversed(licences.TEMPLATES)}
+    wrapped = {n: textwrap.fill(f"{n} notice. Copyright (c) 2020 Some Author. All rights reserved.\n" + max((t for m, t in licences.TEMPLATES if m == n), key=len), 60) for n in of}
+    rows = [(10 + i, wrapped[n], f"d{i}/LICENSE") for i, n in enumerate(of) if n not in ("proprietary", "CC0-1.0")]
+    rows += [(100, "Please note: this was released under a MIT style License by us.\n" + "prose and more prose here " * 50, "p/a"), (101, "He copied the license plate number of a public car.", "p/b")]
+    rows += [(200, "This library is offered under the terms of the foo licence, any version.", "q/a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r.doc_id: r for r in licences.scan(df).collect()}
+    names = list(of)
+    for i, _, _ in rows[:-3]:
+        assert got[i].licence == names[i - 10] and 0.6 <= got[i].own_score < 1 and got[i].origin == "own", names[i - 10]
+    assert got[100].licence is None and got[101].licence is None and got[200].licence is None
+    both = [("one", "Under the foo licence, any version."), ("two", "any version, under the FOO licence")]
+    mine = {r.doc_id: r for r in licences.scan(df, templates=both).collect()}
+    assert mine[200].licence is None and licences.scan(df.where("doc_id = 200"), templates=[("foo", rows[-1][1])]).first().licence == "foo"
+    tied = spark.createDataFrame([(1, "under the foo licence any version", "x/LICENSE"), (2, "under the foo licence any version", "x/COPYING"), (3, "", "x/y")], "doc_id long, text string, path string")
+    assert {(r.doc_id, r.licence, r.own_score) for r in licences.scan(tied, templates=both).collect()} == {(1, "one", 1.0), (2, "one", 1.0), (3, "one", 0.0)}
+
+
 def test_sql_oracles(spark, sf):
     from streetlens.llm.queries import ORACLES, QUERIES
 
