@@ -65,6 +65,27 @@ def colour_map(depth_px: DataFrame, table: DataFrame) -> DataFrame:
     return depth_px.withColumn("level", level).join(table, "level").select("pano", "dir", "u", "v", *[F.floor(F.col(c) * 255).cast("int").alias(c) for c in "rgb"])
 
 
+def resized_bilinear(image_px: DataFrame, width: int, height: int, to: int = 256) -> DataFrame:
+    """An image (pano, dir, u, v, b, g, r) at another size: each pixel is the mean of the
+    four around its centre in the image, weighed by nearness, to the nearest whole number.
+    Every pixel of the image votes for the pixels that it weighs in."""
+
+    def votes(x: Column, size: int) -> Column:
+        scale = size / to
+        centre = lambda t: F.least(F.greatest((t + F.lit(0.5)) * F.lit(scale) - F.lit(0.5), F.lit(0.0)), F.lit(size - 1.0))
+        first = F.greatest(F.floor((x - F.lit(0.5)) / F.lit(scale) - F.lit(0.5)), F.lit(0)).cast("int")
+        last = F.least(F.ceil((x + F.lit(1.5)) / F.lit(scale) - F.lit(0.5)), F.lit(to - 1)).cast("int")
+        # at the edges all pixels beyond take the one at the edge
+        first, last = F.when(x == 0, F.lit(0)).otherwise(first), F.when(x == size - 1, F.lit(to - 1)).otherwise(last)
+        weighed = F.transform(F.sequence(first, last), lambda t: F.struct(t.cast("int").alias("at"), (F.lit(1.0) - F.abs(centre(t) - x)).alias("w")))
+        return F.filter(weighed, lambda p: p["w"] > 0)
+
+    at = image_px.select("pano", "dir", "v", *"bgr", F.explode(votes(F.col("u"), width)).alias("x")).select("pano", "dir", *"bgr", "x", F.explode(votes(F.col("v"), height)).alias("y"))
+    weight = F.col("x.w") * F.col("y.w")
+    mean = at.groupBy("pano", "dir", F.col("x.at").alias("u"), F.col("y.at").alias("v")).agg(*[F.sum(F.col(c) * weight).alias(c) for c in "bgr"])
+    return mean.select("pano", "dir", "u", "v", *[F.floor(F.round(c, 6) + F.lit(0.5)).cast("int").alias(c) for c in "bgr"])
+
+
 def resized(image_px: DataFrame, width: int, height: int, to: int = 256) -> DataFrame:
     """Nearest pixels of an image at another size (thumbnails)."""
     sx, sy = width / to, height / to

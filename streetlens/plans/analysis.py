@@ -1,8 +1,9 @@
 """From pixels to safety records, for any number of panoramas.
 
-Pixels are read three times: for the rows by class and column, for the calibration, and
-for vehicles as connected components. These small tables, occupied cells and first hits
-are settled by checkpoints, since several branches read each of them; all else is lazy.
+Pixels are written once as a stage table, which the rows by class and column, the
+calibration, vehicles as connected components and surfaces read, each of them a few
+classes and columns. Of what follows, small tables that several branches read are settled
+by checkpoints when the plan is made; all else is lazy.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from streetlens.config import DEFAULT, Config
 from streetlens.operators import calibrate, components, footprint, masks, metrics, profile, raycast
 from streetlens.operators.layout import by_pano
-from streetlens.sources.session import settled
+from streetlens.sources.session import settled, staged
 
 
 @dataclasses.dataclass(frozen=True)
@@ -30,7 +31,7 @@ class Scene:
 
 
 def road_pixels(pixels: DataFrame, flags: DataFrame) -> DataFrame:
-    return pixels.join(flags.where("is_road").select("class_id"), "class_id", "left_semi")
+    return pixels.join(flags.where("is_road").select("class_id"), "class_id", "left_semi")  # a filter of few classes reaches the scan
 
 
 def vehicle_pixels(labels: DataFrame, flags: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -53,6 +54,7 @@ def scene(pixels: DataFrame, flags: DataFrame, present: DataFrame | None = None,
     depth_norm). surfaces: road and sidewalk as well, which figures show only."""
     if "depth_norm" not in pixels.columns:
         pixels = pixels.withColumn("depth_norm", F.lit(0.0).cast("float"))
+    pixels = staged(pixels)
     present = pixels.select("pano", "dir").distinct() if present is None else present
     columns = masks.with_obstacles(settled(masks.column_classes(pixels, flags, config)), config)
     base = settled(masks.base_pixels(columns))
@@ -99,7 +101,7 @@ def comparison(pixels: DataFrame, flags: DataFrame, config: Config = DEFAULT) ->
     """Structures ahead in the grid of one view, by both methods: pano, method (ipm or
     depth), col, row, n, r2. Any fit with a positive slope counts, however good; panoramas
     without one have rows of the first method only."""
-    front = pixels.where("dir = 'front'")
+    front = staged(pixels.where("dir = 'front'"))
     columns = settled(masks.column_classes(front, flags, config))
     base = settled(masks.base_pixels(masks.with_obstacles(columns, config)).where("layer = 'occ'"))
     fitted = settled(calibrate.calibrate(road_pixels(front, flags), config.replace(depth_r2_min=float("-inf"))).where("source = 'depth'"))

@@ -116,7 +116,7 @@ FROM px JOIN flags USING (class_id) LEFT JOIN areas USING (pano, dir, class_id)"
     ("pxd", """
 SELECT pxf.*, coalesce(CASE WHEN pano % 7 <> 0 THEN CAST(CAST(1.0 AS DOUBLE) - (CAST(0.002 AS DOUBLE) * (v - 128) + CAST(0.05 AS DOUBLE)
   + CAST(embedding[u % 64 + 1] AS DOUBLE) * (CASE WHEN pano % 2 = 0 THEN CAST(0.05 AS DOUBLE) ELSE CAST(2.0 AS DOUBLE) END)) AS FLOAT) END, CAST(0 AS FLOAT)) AS depth_norm
-FROM pxf LEFT JOIN embeddings ON vec_id = pano % 500"""),
+FROM pxf LEFT JOIN embeddings ON vec_id = pano % (SELECT count(*) FROM embeddings)"""),
     ("base", """
 SELECT pano, dir, layer, u, max(v) AS v FROM (
   SELECT *, unnest(list_filter([CASE WHEN is_obstacle THEN 'occ' END, CASE WHEN is_vehicle_class THEN 'vehicle' END, CASE WHEN NOT is_obstacle AND NOT is_vehicle_class THEN 'other' END], lambda x: x IS NOT NULL)) AS layer
@@ -221,6 +221,11 @@ SELECT *, ({_d(27.948745635820465)} / greatest(l_vis, 0.1)) * (1 + a_shadow / (p
     ("cmp_cells", _grow("cmp_thin", "pano, layer", 120, 120)),
 ]
 
+PLACE = 'CAST(sum((col * 240 + "row") * (1 + (col * 31 + "row" * 17) % 97)) AS BIGINT) AS place'
+MASKS = {
+    "obstacle": "is_obstacle", "ground": "is_ground", "valid": "NOT is_ground", "vehicle": "is_vehicle_class AND NOT is_ground",
+    "other": "NOT is_ground AND NOT is_obstacle AND NOT is_vehicle_class", "occluder": "is_obstacle AND NOT is_ground",
+}
 GRADE = "CASE WHEN dsi < 1.0 THEN 'Safe' WHEN dsi < 1.8 THEN 'Caution' ELSE 'High-risk' END"
 
 
@@ -228,7 +233,8 @@ def _overlay(c: str, vehicle: int) -> str:
     tint = f"CAST({c} * {_d(1 - DEFAULT.overlay_alpha)} + coalesce(c{c}, 128) * {_d(DEFAULT.overlay_alpha)} AS FLOAT)"
     base = f"(CASE WHEN is_obstacle THEN {tint} ELSE CAST({c} AS FLOAT) END)"
     veh = f"CAST({base} * {_d(1 - DEFAULT.overlay_alpha)} + {_d(vehicle * DEFAULT.overlay_alpha)} AS FLOAT)"
-    return f"CAST(sum(CAST(floor(least(greatest(CASE WHEN is_vehicle_class THEN {veh} ELSE {base} END, 0), 255)) AS BIGINT)) AS BIGINT) AS {c}"
+    shown = f"CAST(floor(least(greatest(CASE WHEN is_vehicle_class THEN {veh} ELSE {base} END, 0), 255)) AS BIGINT)"
+    return f"CAST(sum({shown}) AS BIGINT) AS {c}, CAST(sum({shown} * (u * 256 + v)) AS BIGINT) AS {c}_at"
 
 
 def _keyword_rows() -> str:
@@ -253,8 +259,7 @@ FROM have LEFT JOIN (SELECT pano, dir, count(*) AS n, '[' || string_agg('{"class
 LEFT JOIN (SELECT pano, dir, count(*) FILTER (WHERE f.is_ground) AS g, count(*) FILTER (WHERE f.is_vehicle) AS vp, count(*) FILTER (WHERE f.is_road) AS r, count(*) FILTER (WHERE f.is_sidewalk) AS s FROM px JOIN flags f USING (class_id) GROUP BY ALL) USING (pano, dir)""",
     "disparity_normalise": """SELECT pano, dir, round(min(n), 6) AS low, round(max(n), 6) AS high, round(sum(n), 4) AS total FROM (
 SELECT pano, dir, 1 - (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w + CAST(1e-8 AS DOUBLE)) AS n FROM (SELECT *, CAST((u * 31 + v * 17 + pano) % 1000 AS DOUBLE) AS x FROM px) WINDOW w AS (PARTITION BY pano, dir)) GROUP BY ALL""",
-    "pixel_masks": """SELECT pano, dir, count(*) FILTER (WHERE is_obstacle) AS obstacle, count(*) FILTER (WHERE is_ground) AS ground, count(*) FILTER (WHERE NOT is_ground) AS valid, count(*) FILTER (WHERE is_vehicle_class AND NOT is_ground) AS vehicle,
-count(*) FILTER (WHERE NOT is_ground AND NOT is_obstacle AND NOT is_vehicle_class) AS other, count(*) FILTER (WHERE is_obstacle AND NOT is_ground) AS occluder FROM pxf GROUP BY ALL""",
+    "pixel_masks": f"""SELECT pano, dir, {", ".join(f"count(*) FILTER (WHERE {m}) AS {k}, CAST(coalesce(sum((u * 256 + v) * ((u * 256 + v) % 97 + 1)) FILTER (WHERE {m}), 0) AS BIGINT) AS {k}_at" for k, m in MASKS.items())} FROM pxf GROUP BY ALL""",
     "column_base_z": "SELECT pano, dir, layer, u, round(z, 6) AS z FROM plain",
     "profile_capped": "SELECT pano, dir, u, round(z, 6) AS z FROM capped",
     "profile_smoothed": "SELECT pano, dir, i, round(CAST(z AS DOUBLE), 5) AS z FROM smooth",
@@ -267,11 +272,11 @@ count(*) FILTER (WHERE NOT is_ground AND NOT is_obstacle AND NOT is_vehicle_clas
     "ground_surface_cells": "SELECT pano, col, \"row\" FROM ground WHERE layer = 'road'",
     "depth_calibration": "SELECT pano, dir, n, round(CASE WHEN isnan(a) THEN NULL ELSE a END, 5) + 0.0::DOUBLE AS a, round(CASE WHEN isnan(b) THEN NULL ELSE b END, 5) + 0.0::DOUBLE AS b, round(CASE WHEN isnan(r2) THEN NULL ELSE r2 END, 4) + 0.0::DOUBLE AS r2 FROM fit",
     "occ_source_by_dir": "SELECT pano, dir, CASE WHEN good THEN 'depth' ELSE 'ipm' END AS source FROM have LEFT JOIN fits USING (pano, dir)",
-    "zmap_footprint": f"SELECT pano, dir, count(*) AS points, round(sum(CAST(z0 AS DOUBLE)), 2) AS z FROM ({_cell('(' + _smooth('(SELECT pano, dir, layer, i, u, z FROM deep WHERE good)') + ')', 'pano, dir, layer, i, z0')}) GROUP BY ALL",
+    "zmap_footprint": f"SELECT pano, dir, count(*) AS points, round(sum(CAST(z0 AS DOUBLE)), 2) AS z, {PLACE} FROM ({_cell('(' + _smooth('(SELECT pano, dir, layer, i, u, z FROM deep WHERE good)') + ')', 'pano, dir, layer, i, z0')}) GROUP BY ALL",
     "vehicle_components": "SELECT pano, dir, area_px, sum_u FROM comps",
     "vehicle_cone_split": "SELECT pano, dir, layer, count(*) AS columns, max(v) AS lowest FROM veh_base GROUP BY ALL",
-    "merged_layers": "SELECT pano, layer, count(*) AS cells FROM layers GROUP BY ALL",
-    "occupancy_variants": "SELECT pano, variant, count(*) AS cells FROM variants GROUP BY ALL",
+    "merged_layers": f"SELECT pano, layer, count(*) AS cells, {PLACE} FROM layers GROUP BY ALL",
+    "occupancy_variants": f"SELECT pano, variant, count(*) AS cells, {PLACE} FROM variants GROUP BY ALL",
     "ray_cell_dimension": 'SELECT ray, col, "row", smin, smax FROM ray_cell',
     "raycast_hits": "SELECT pano, ray, hit_s FROM hits",
     "shadow_cells": 'SELECT pano, "row", count(*) AS n, CAST(sum(col) AS BIGINT) AS cols FROM shadow GROUP BY ALL',
@@ -290,13 +295,16 @@ FROM (SELECT pano, string_agg(dir, ',' ORDER BY k) AS dirs_present, string_agg(d
       FROM (SELECT *, CASE dir WHEN 'left' THEN 0 WHEN 'front' THEN 1 WHEN 'right' THEN 2 ELSE 3 END AS k FROM have) LEFT JOIN fits USING (pano, dir) GROUP BY pano)
 JOIN (SELECT * FROM full_index WHERE variant = 'occ') o USING (pano) JOIN (SELECT * FROM full_index WHERE variant = 'veh') v USING (pano)""",
     "dsi_grade_histogram": f"SELECT grade, count(*) AS panos, round(avg(round(dsi, 6)), 4) AS mean_dsi FROM (SELECT dsi, {GRADE} AS grade FROM index_) GROUP BY grade",
-    "bev_composite_rgb": """SELECT pano, p.r, p.g, p.b, count(*) AS cells, CAST(sum(col * 240 + "row") AS BIGINT) AS place FROM (
+    "bev_composite_rgb": f"""SELECT pano, p.r, p.g, p.b, count(*) AS cells, {PLACE} FROM (
 SELECT pano, col, "row", max(z) AS z FROM (SELECT * FROM occ UNION ALL SELECT * FROM other UNION ALL SELECT * FROM ground WHERE layer = 'road') JOIN palette USING (layer) GROUP BY ALL) JOIN palette p USING (z) GROUP BY ALL""",
-    "bev_shadow_rgb": """SELECT pano, CASE WHEN s THEN 255 ELSE 220 END AS r, CASE WHEN s THEN 200 ELSE 80 END AS g, CASE WHEN s THEN 0 ELSE 80 END AS b, count(*) AS cells FROM (
+    "bev_shadow_rgb": f"""SELECT pano, CASE WHEN s THEN 255 ELSE 220 END AS r, CASE WHEN s THEN 200 ELSE 80 END AS g, CASE WHEN s THEN 0 ELSE 80 END AS b, count(*) AS cells, {PLACE} FROM (
 SELECT pano, col, "row", bool_or(s) AS s FROM (SELECT pano, col, "row", false AS s FROM occ UNION ALL SELECT pano, col, "row", true FROM shadow) GROUP BY ALL) GROUP BY ALL""",
     "overlay_blend": f"""SELECT pano, dir, {_overlay('b', 0)}, {_overlay('g', 140)}, {_overlay('r', 255)} FROM image JOIN pxf USING (pano, dir, u, v) LEFT JOIN colours c ON c.class_id = image.class_id GROUP BY ALL""",
     "channel_swap": "SELECT pano, CAST(sum(r) AS BIGINT) AS b, CAST(sum(b) AS BIGINT) AS r FROM image GROUP BY ALL",
-    "thumbnail_pixels": "SELECT pano, dir, count(*) AS n, CAST(sum(b) AS BIGINT) AS b FROM image WHERE u % 4 = 2 AND v % 4 = 2 GROUP BY ALL",
+    "thumbnail_bilinear": """SELECT pano, dir, count(*) AS n, CAST(sum(b) AS BIGINT) AS b, CAST(sum(g) AS BIGINT) AS g, CAST(sum(r) AS BIGINT) AS r, CAST(sum(b * (x * 64 + y)) AS BIGINT) AS b_at FROM (
+SELECT pano, dir, u // 4 AS x, v // 4 AS y, (sum(b) + 2) // 4 AS b, (sum(g) + 2) // 4 AS g, (sum(r) + 2) // 4 AS r FROM image WHERE u % 4 IN (1, 2) AND v % 4 IN (1, 2) GROUP BY ALL) GROUP BY ALL""",
+    "depth_meta": f"SELECT pano || '_' || dir || '.jpg' AS image, 256 AS h, 256 AS w, {_d(DEFAULT.depth_scale)} AS depth_scale, 'depth_norm 0=near 1=far' AS convention FROM have",
+    "thumbnail_pixels": "SELECT pano, dir, count(*) AS n, CAST(sum(b) AS BIGINT) AS b, CAST(sum(b * (u // 4 * 64 + v // 4)) AS BIGINT) AS b_at FROM image WHERE u % 4 = 2 AND v % 4 = 2 GROUP BY ALL",
     "shadow_arrows": "SELECT pano, ray, round(120 + sin(radians(ray * CAST(0.5 AS DOUBLE))) * dist / 0.5, 5) AS x1, round(120 - cos(radians(ray * CAST(0.5 AS DOUBLE))) * dist / 0.5, 5) AS y1 FROM rings WHERE ray % 30 = 0",
     "hazard_markers": "SELECT pano, count(*) AS n, round(sum(120 + sin(radians(ang)) * dist / 0.5), 4) AS x, round(sum(120 - cos(radians(ang)) * dist / 0.5), 4) AS y, round(sum(15.0 + 90.0 * weight), 4) AS size FROM edges GROUP BY ALL",
     "remaining_work_anti": "SELECT DISTINCT pano FROM rect WHERE pano NOT IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey % 3 = 0)",
@@ -307,7 +315,7 @@ SELECT pano, col, "row", bool_or(s) AS s FROM (SELECT pano, col, "row", false AS
     "work_counts": "SELECT count(*) AS total, count(*) FILTER (WHERE done) AS done, count(*) FILTER (WHERE NOT done) AS remaining FROM (SELECT DISTINCT pano, pano IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey % 3 = 0) AS done FROM rect)",
     "depth_colours": """SELECT pano, dir, CAST(sum(k0) AS BIGINT) AS r, CAST(sum(CAST(floor(k / 510.0::DOUBLE * 255) AS BIGINT)) AS BIGINT) AS g, CAST(sum(CAST(floor(k / 1020.0::DOUBLE * 255) AS BIGINT)) AS BIGINT) AS b
 FROM (SELECT pano, dir, CAST(floor(x / 255.0::DOUBLE * 255) AS BIGINT) AS k0, x AS k FROM (SELECT *, (u * 31 + v * 17) % 256 AS x FROM px)) GROUP BY ALL""",
-    "occluder_zones": """SELECT pano, CASE WHEN s THEN 255 ELSE 220 END AS r, CASE WHEN s THEN 235 ELSE 80 END AS g, CASE WHEN s THEN 150 ELSE 80 END AS b, count(*) AS cells FROM (
+    "occluder_zones": f"""SELECT pano, CASE WHEN s THEN 255 ELSE 220 END AS r, CASE WHEN s THEN 235 ELSE 80 END AS g, CASE WHEN s THEN 150 ELSE 80 END AS b, count(*) AS cells, {PLACE} FROM (
 SELECT pano, col, "row", bool_or(s) AS s FROM (SELECT pano, col, "row", false AS s FROM occ UNION ALL SELECT pano, col, "row", true FROM shadow) GROUP BY ALL) GROUP BY ALL""",
     "panorama_names": "SELECT pano FROM have WHERE dir = 'front'",
     "compare_ipm_vs_depth": "SELECT c.pano, c.layer AS method, count(*) AS cells, max(f.n) AS n, round(max(f.r2), 4) AS r2 FROM cmp_cells c LEFT JOIN fits f ON f.pano = c.pano AND f.dir = 'front' AND any_fit GROUP BY ALL",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetlens.config import DEFAULT
@@ -10,7 +10,7 @@ from streetlens.functions import geometry, vocabulary
 from streetlens.operators import calibrate, components, crop, footprint, infer, masks, metrics, profile, raster, raycast, render, sampling
 from streetlens.plans import analysis
 from streetlens.sources import adapters, records
-from streetlens.sources.session import settled
+from streetlens.sources.session import settled, staged
 
 Spark = SparkSession
 
@@ -27,35 +27,47 @@ def _with_depth(spark: Spark, d: str) -> DataFrame:
     return adapters.pixels(spark, d)
 
 
-def _columns(spark: Spark, d: str) -> DataFrame:
-    return masks.with_obstacles(settled(masks.column_classes(_pixels(spark, d), _flags(spark))))
+def _labels(spark: Spark, d: str) -> DataFrame:
+    """Pixels as a stage table, for queries that read them more than once."""
+    return staged(_pixels(spark, d))
 
 
-def _base(spark: Spark, d: str) -> DataFrame:
-    return masks.base_pixels(_columns(spark, d))
+def _columns(spark: Spark, labels: DataFrame) -> DataFrame:
+    return masks.with_obstacles(settled(masks.column_classes(labels, _flags(spark))))
+
+
+def _base(spark: Spark, d: str, labels: DataFrame | None = None) -> DataFrame:
+    return masks.base_pixels(_columns(spark, _pixels(spark, d) if labels is None else labels))
+
+
+def _place() -> Column:
+    """A sum that tells sets of cells apart where a row counts them."""
+    return F.sum(F.expr("(col * 240 + row) * (1 + (col * 31 + row * 17) % 97)")).alias("place")
+
+
+def _cells() -> list[Column]:
+    return [F.count(F.lit(1)).alias("cells"), _place()]
 
 
 def _vehicles(spark: Spark, d: str) -> DataFrame:
     return analysis.vehicle_pixels(_pixels(spark, d), _flags(spark))
 
 
-def _occ_profile(spark: Spark, d: str) -> DataFrame:
+def _occ_profile(spark: Spark, d: str, base: DataFrame | None = None) -> DataFrame:
     """Structures by the ground plane, capped by vehicles."""
-    base = settled(_base(spark, d))
+    base = settled(_base(spark, d)) if base is None else base
     return profile.capped(profile.ground_profile(base.where("layer = 'occ'")), profile.ground_profile(base.where("layer = 'vehicle'")))
 
 
-def _occ_cells(spark: Spark, d: str) -> DataFrame:
-    return footprint.footprint(_occ_profile(spark, d))
-
+def _occ_cells(spark: Spark, d: str, base: DataFrame | None = None) -> DataFrame:
+    return footprint.footprint(_occ_profile(spark, d, base))
 
-def _occupied(spark: Spark, d: str) -> DataFrame:
-    return _occ_cells(spark, d).select("pano", F.lit("occ").alias("variant"), "col", "row")
 
-
-def _hits(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
-    rays = raycast.ray_cells(spark)
-    return raycast.first_hits(_occupied(spark, d), rays), rays
+def _hits(spark: Spark, d: str, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """First hits of structures, and the cells of rays, which several steps read."""
+    cells = _occ_cells(spark, d) if cells is None else cells
+    rays = settled(raycast.ray_cells(spark))
+    return raycast.first_hits(cells.select("pano", F.lit("occ").alias("variant"), "col", "row"), rays), rays
 
 
 def _rings(spark: Spark, d: str) -> DataFrame:
@@ -112,7 +124,7 @@ def crop_flag_totals(spark: Spark, d: str) -> DataFrame:
 
 def segmentation_meta(spark: Spark, d: str) -> DataFrame:
     """K5: the metadata record of each crop, as JSON values."""
-    labels, flags = _pixels(spark, d), _flags(spark)
+    labels, flags = _labels(spark, d), _flags(spark)
     meta = records.seg_meta(adapters.panoramas(spark, d), masks.detections(masks.class_areas(labels, flags)), masks.flag_totals(labels, flags))
     return meta.select("image", F.size("detections").alias("n"), F.to_json("detections").alias("detections"), "ground_px", "vehicle_px", "road_px", "sidewalk_px")
 
@@ -125,10 +137,13 @@ def disparity_normalise(spark: Spark, d: str) -> DataFrame:
 
 
 def pixel_masks(spark: Spark, d: str) -> DataFrame:
-    """How many pixels of each crop are in each mask."""
-    labels, flags = _pixels(spark, d), _flags(spark)
+    """How many pixels of each crop are in each mask, and sums that
+    tell which."""
+    labels, flags = _labels(spark, d), _flags(spark)
     m = masks.pixel_masks(labels, flags, masks.class_areas(labels, flags))
-    return m.groupBy("pano", "dir").agg(*[F.count_if(F.col(f"is_{k}")).alias(k) for k in ("obstacle", "ground", "valid", "vehicle", "other", "occluder")])
+    kinds = ("obstacle", "ground", "valid", "vehicle", "other", "occluder")
+    at = F.col("u") * 256 + F.col("v")
+    return m.groupBy("pano", "dir").agg(*[F.count_if(F.col(f"is_{k}")).alias(k) for k in kinds], *[F.coalesce(F.sum(F.when(F.col(f"is_{k}"), at * (at % 97 + 1))), F.lit(0)).cast("long").alias(f"{k}_at") for k in kinds])
 
 
 def column_base_z(spark: Spark, d: str) -> DataFrame:
@@ -172,8 +187,8 @@ def cells_closed(spark: Spark, d: str) -> DataFrame:
     return raster.close(footprint.footprint(_occ_profile(spark, d), grow=False), side, side).select("pano", "col", "row")
 
 
-def _road(spark: Spark, d: str) -> DataFrame:
-    return analysis.road_pixels(_pixels(spark, d), _flags(spark)).withColumn("layer", F.lit("road"))
+def _road(spark: Spark, d: str, labels: DataFrame | None = None) -> DataFrame:
+    return analysis.road_pixels(_pixels(spark, d) if labels is None else labels, _flags(spark)).withColumn("layer", F.lit("road"))
 
 
 def ground_surface_points(spark: Spark, d: str) -> DataFrame:
@@ -200,11 +215,11 @@ def occ_source_by_dir(spark: Spark, d: str) -> DataFrame:
 
 def zmap_footprint(spark: Spark, d: str) -> DataFrame:
     """Cells of structures by calibrated depth."""
-    px, flags = _with_depth(spark, d), _flags(spark)
+    px, flags = staged(_with_depth(spark, d)), _flags(spark)
     base = masks.base_pixels(masks.with_obstacles(masks.column_classes(px, flags))).where("layer = 'occ'")
     fit = calibrate.calibrate(analysis.road_pixels(px, flags)).where("source = 'depth'")
     at = footprint.projected(profile.smoothed(profile.depth_profile(base, fit)))
-    return at.groupBy("pano", "dir").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum(F.col("z").cast("double")), 2).alias("z"))
+    return at.groupBy("pano", "dir").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum(F.col("z").cast("double")), 2).alias("z"), _place())
 
 
 def vehicle_components(spark: Spark, d: str) -> DataFrame:
@@ -223,13 +238,13 @@ def _scene(spark: Spark, d: str, surfaces: bool = False) -> analysis.Scene:
 
 
 def merged_layers(spark: Spark, d: str) -> DataFrame:
-    """How many cells each layer has."""
-    return _scene(spark, d, surfaces=True).cells.groupBy("pano", "layer").agg(F.count(F.lit(1)).alias("cells"))
+    """How many cells each layer has, and which."""
+    return _scene(spark, d, surfaces=True).cells.groupBy("pano", "layer").agg(*_cells())
 
 
 def occupancy_variants(spark: Spark, d: str) -> DataFrame:
     """U2."""
-    return analysis.occupancy(_scene(spark, d).cells).groupBy("pano", "variant").agg(F.count(F.lit(1)).alias("cells"))
+    return analysis.occupancy(_scene(spark, d).cells).groupBy("pano", "variant").agg(*_cells())
 
 
 def ray_cell_dimension(spark: Spark, d: str) -> DataFrame:
@@ -306,34 +321,35 @@ def dsi_grade_histogram(spark: Spark, d: str) -> DataFrame:
 
 def bev_composite_rgb(spark: Spark, d: str) -> DataFrame:
     """How many cells show each colour."""
-    base = _base(spark, d)
+    labels = _labels(spark, d)
+    base = settled(_base(spark, d, labels))
     other = footprint.footprint(profile.ground_profile(base.where("layer = 'other'")), connect=False, grow=False)
-    layers = _occ_cells(spark, d).unionByName(other).unionByName(footprint.ground_surface(_road(spark, d)))
-    return render.composite(layers).groupBy("pano", "r", "g", "b").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("col") * 240 + F.col("row")).alias("place"))
+    layers = _occ_cells(spark, d, base).unionByName(other).unionByName(footprint.ground_surface(_road(spark, d, labels)))
+    return render.composite(layers).groupBy("pano", "r", "g", "b").agg(*_cells())
 
 
 def bev_shadow_rgb(spark: Spark, d: str) -> DataFrame:
     """The same with the shadow over everything."""
-    hits, rays = _hits(spark, d)
-    shown = render.composite(_occ_cells(spark, d), raycast.shadow_cells(hits, rays))
-    return shown.groupBy("pano", "r", "g", "b").agg(F.count(F.lit(1)).alias("cells"))
+    cells = settled(_occ_cells(spark, d))
+    shown = render.composite(cells, raycast.shadow_cells(*_hits(spark, d, cells)))
+    return shown.groupBy("pano", "r", "g", "b").agg(*_cells())
 
 
-def _image(spark: Spark, d: str) -> DataFrame:
+def _image(spark: Spark, d: str, labels: DataFrame | None = None) -> DataFrame:
     at = lambda a, b: ((F.col("u") * a + F.col("v") * b + F.col("pano")) % 256).cast("int")
-    return _pixels(spark, d).select("pano", "dir", "u", "v", at(3, 5).alias("b"), at(7, 11).alias("g"), at(13, 2).alias("r"))
+    return (_pixels(spark, d) if labels is None else labels).select("pano", "dir", "u", "v", at(3, 5).alias("b"), at(7, 11).alias("g"), at(13, 2).alias("r"))
 
 
 def overlay_blend(spark: Spark, d: str) -> DataFrame:
     """The blended image, summed by crop. Class 2 has no colour of its own."""
-    labels, flags = _pixels(spark, d), _flags(spark)
+    labels, flags = _labels(spark, d), _flags(spark)
     large = masks.class_areas(labels, flags).select("pano", "dir", "class_id")
     found = labels.join(large, ["pano", "dir", "class_id"], "left_semi")
     veh = labels.join(flags.where("is_vehicle").select("class_id"), "class_id", "left_semi")
     drawn = {c: rgb for c, rgb in vocabulary.class_colours([0, 1, 2, 3]).items() if c != 2}
     colours = spark.createDataFrame([(c, *bgr) for c, bgr in drawn.items()], "class_id int, b int, g int, r int")
-    shown = render.overlay(_image(spark, d), found, veh, colours)
-    return shown.groupBy("pano", "dir").agg(*[F.sum(c).alias(c) for c in "bgr"])
+    shown = render.overlay(_image(spark, d, labels), found, veh, colours)
+    return shown.groupBy("pano", "dir").agg(*[F.sum(c).alias(c) for c in "bgr"], *[F.sum(F.col(c) * (F.col("u") * 256 + F.col("v"))).alias(f"{c}_at") for c in "bgr"])
 
 
 def channel_swap(spark: Spark, d: str) -> DataFrame:
@@ -343,7 +359,19 @@ def channel_swap(spark: Spark, d: str) -> DataFrame:
 
 def thumbnail_pixels(spark: Spark, d: str) -> DataFrame:
     """X17, by nearest pixels."""
-    return render.resized(_image(spark, d), 256, 256, 64).groupBy("pano", "dir").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))
+    return render.resized(_image(spark, d), 256, 256, 64).groupBy("pano", "dir").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"), F.sum(F.col("b") * (F.col("u") * 64 + F.col("v"))).alias("b_at"))
+
+
+def thumbnail_bilinear(spark: Spark, d: str) -> DataFrame:
+    """X17, between pixels."""
+    small = render.resized_bilinear(_image(spark, d), 256, 256, 64)
+    return small.groupBy("pano", "dir").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in "bgr"], F.sum(F.col("b") * (F.col("u") * 64 + F.col("v"))).alias("b_at"))
+
+
+def depth_meta(spark: Spark, d: str) -> DataFrame:
+    """K8: the metadata record of each crop's depth."""
+    meta = records.depth_meta(adapters.panoramas(spark, d))
+    return meta.select("image", F.element_at("img_hw", 1).alias("h"), F.element_at("img_hw", 2).alias("w"), "depth_scale", "convention")
 
 
 def shadow_arrows(spark: Spark, d: str) -> DataFrame:
@@ -364,7 +392,7 @@ def remaining_work_anti(spark: Spark, d: str) -> DataFrame:
 
 def left_default_fill(spark: Spark, d: str) -> DataFrame:
     """Masks and depth of crops, some of which have none."""
-    labels, flags = _pixels(spark, d), _flags(spark)
+    labels, flags = _labels(spark, d), _flags(spark)
     known = labels.join(flags, "class_id").where("pano % 5 != 0").select("pano", "dir", "u", "v", "is_ground", "is_vehicle")
     depth = adapters.depth_px(spark, d, labels.where("pano % 7 != 0"))
     filled = masks.with_masks_or_default(labels.select("pano", "dir", "u", "v"), known, depth)
@@ -401,7 +429,7 @@ def class_listing(spark: Spark, d: str) -> DataFrame:
 
 def strict_inputs(spark: Spark, d: str) -> DataFrame:
     """Crops with both masks and depth."""
-    labels = _pixels(spark, d)
+    labels = _labels(spark, d)
     return records.strict_inputs(adapters.panoramas(spark, d), labels.where("pano % 5 != 0"), adapters.depth_px(spark, d, labels.where("pano % 7 != 0")))
 
 
@@ -419,9 +447,9 @@ def depth_colours(spark: Spark, d: str) -> DataFrame:
 
 def occluder_zones(spark: Spark, d: str) -> DataFrame:
     """Cells of the hazard panel by colour."""
-    hits, rays = _hits(spark, d)
-    shown = render.hazard_composite(_occ_cells(spark, d), raycast.shadow_cells(hits, rays))
-    return shown.groupBy("pano", "r", "g", "b").agg(F.count(F.lit(1)).alias("cells"))
+    cells = settled(_occ_cells(spark, d))
+    shown = render.hazard_composite(cells, raycast.shadow_cells(*_hits(spark, d, cells)))
+    return shown.groupBy("pano", "r", "g", "b").agg(*_cells())
 
 
 QUERIES = {
@@ -431,7 +459,7 @@ QUERIES = {
         disparity_normalise, pixel_masks, column_base_z, profile_capped, profile_smoothed, profile_links, bev_cells, bev_cells_dilated, other_cells, cells_closed,
         ground_surface_points, ground_surface_cells, depth_calibration, occ_source_by_dir, zmap_footprint, vehicle_components, vehicle_cone_split, merged_layers, occupancy_variants,
         ray_cell_dimension, raycast_hits, shadow_cells, shadow_area, raycast_single_view, l_vis, emergence_edges, emergence_summary, dsi_structures, dsi_record,
-        dsi_grade_histogram, bev_composite_rgb, bev_shadow_rgb, overlay_blend, channel_swap, thumbnail_pixels, shadow_arrows, hazard_markers, remaining_work_anti,
+        dsi_grade_histogram, bev_composite_rgb, bev_shadow_rgb, overlay_blend, channel_swap, thumbnail_pixels, thumbnail_bilinear, depth_meta, shadow_arrows, hazard_markers, remaining_work_anti,
         left_default_fill, crops_with_cameras, panorama_names, seeded_sample, compare_ipm_vs_depth,
         class_listing, strict_inputs, work_counts, depth_colours, occluder_zones,
     )

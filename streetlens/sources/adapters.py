@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from streetlens.functions.geometry import direction_name
 
-#: Each rectangle of a scene; the same text runs in other engines.
+#: Each rectangle of a scene, one for each row of the table; the same text runs in other
+#: engines. A crop has some 150, so that they are small.
 SCENE_RECT = """
 SELECT l_suppkey AS pano, CAST(l_linenumber % 4 AS INT) AS dir_idx, l_orderkey * 8 + l_linenumber AS z,
        CAST((l_partkey * 37 + l_orderkey * 11) % 256 AS INT) AS u0, CAST(90 + (l_orderkey * 13 + l_partkey * 7) % 110 AS INT) AS v0,
-       CAST(4 + l_quantity AS INT) AS wd, CAST(8 + (l_partkey % 40) AS INT) AS ht, CAST((l_partkey + l_linenumber) % 10 AS INT) AS class_id
-FROM lineitem WHERE l_orderkey % 30 = 0"""
+       CAST(3 + l_quantity % 10 AS INT) AS wd, CAST(3 + (l_partkey * 3 + l_orderkey) % 11 AS INT) AS ht, CAST((l_partkey + l_linenumber) % 10 AS INT) AS class_id
+FROM lineitem"""
 #: With collisions on purpose: one class in two sets, one in none.
 CLASS_NAMES = (
     (0, "building, edifice"), (1, "wall"), (2, "tree"), (3, "skyscraper"), (4, "car"),
@@ -58,20 +59,24 @@ DEPTH = """
     + cast(embedding[u % 64] as double) * (case when pano % 2 = 0 then cast(0.05 as double) else cast(2.0 as double) end)) as float)"""
 
 
-def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", "embedding")
+def _noise(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """All vectors, numbered from 0, and how many there are."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors, max(1, vectors.count())
 
 
 def depth_px(spark: SparkSession, sf_dir: str, labels: DataFrame | None = None) -> DataFrame:
     """Relative depth of the painted pixels."""
     labels = label_px(spark, sf_dir) if labels is None else labels
-    return labels.join(_noise(spark, sf_dir), F.col("vec_id") == F.col("pano") % 500).select("pano", "dir", "u", "v", F.expr(DEPTH).alias("depth_norm"))
+    noise, n = _noise(spark, sf_dir)
+    return labels.join(noise, F.col("vec_id") == F.col("pano") % n).select("pano", "dir", "u", "v", F.expr(DEPTH).alias("depth_norm"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """label_px with depth_norm; every seventh panorama has no depth, which is 0."""
-    known = (F.col("vec_id") == F.col("pano") % 500) & (F.col("pano") % 7 != 0)
-    return label_px(spark, sf_dir).join(_noise(spark, sf_dir), known, "left").select("pano", "dir", "u", "v", "class_id", F.coalesce(F.expr(DEPTH), F.lit(0.0).cast("float")).alias("depth_norm"))
+    noise, n = _noise(spark, sf_dir)
+    known = (F.col("vec_id") == F.col("pano") % n) & (F.col("pano") % 7 != 0)
+    return label_px(spark, sf_dir).join(noise, known, "left").select("pano", "dir", "u", "v", "class_id", F.coalesce(F.expr(DEPTH), F.lit(0.0).cast("float")).alias("depth_norm"))
 
 
 def done(spark: SparkSession, sf_dir: str) -> DataFrame:
