@@ -77,9 +77,9 @@ QUERIES = {
 
 ORACLES = {
     "op10_licences": licences.oracle(),
-    # targets by rounds of clamping, unlike the operator's prefix sums
+    # the level by sums over the sources below each one, as the operator's prefix sums
     "op3_water_filling": r"""
-WITH RECURSIVE docs AS (
+WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5(concat_ws(':', '7', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(md5(text), ''))) AS o
   FROM documents),
