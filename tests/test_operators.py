@@ -259,3 +259,39 @@ def test_record_of_missing_parts(spark):
     assert got[1].dsi_refined == 0.5357 and got[1].grade == got[1].grade_veh == "Safe" and got[1].hazard_edges == 0
     plain = analysis.records(none, flags, present, DEFAULT.replace(include_vehicles=False))
     assert "dsi_veh" not in plain.columns and plain.count() == 2
+
+
+@pytest.mark.parametrize("size,to", [(16, 4), (16, 16), (6, 15), (10, 7)])
+def test_resized_bilinear(spark, size, to):
+    rng = np.random.default_rng(size)
+    image = rng.integers(0, 256, (size, size, 3))
+    df = spark.createDataFrame([(1, "front", u, v, *map(int, image[v, u])) for u in range(size) for v in range(size)], "pano int, dir string, u int, v int, b int, g int, r int")
+    at = np.clip((np.arange(to) + 0.5) * size / to - 0.5, 0, size - 1)
+    weights = np.maximum(0, 1 - np.abs(at[:, None] - np.arange(size)))
+    want = np.floor(np.round(np.einsum("yv,xu,vuc->yxc", weights, weights, image), 6) + 0.5).astype(int)
+    got = {(r.u, r.v): (r.b, r.g, r.r) for r in render.resized_bilinear(df, size, size, to).collect()}
+    assert got == {(x, y): tuple(want[y, x].tolist()) for x in range(to) for y in range(to)}
+
+
+def test_required_inputs(spark):
+    from streetlens.sources import records
+
+    crops = spark.createDataFrame([(1, "front"), (2, "left")], "pano int, dir string")
+    assert sorted(records.required_inputs(crops, crops, crops).collect()) == sorted(crops.collect())
+    with pytest.raises(Exception, match="no depth of 2 left"):
+        records.required_inputs(crops, crops, crops.where("pano = 1")).collect()
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from streetlens.sources import session
+
+    def named(master, folder=""):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d="": folder), sparkContext=SimpleNamespace(master=master))
+
+    assert session.shared_folder(named("spark://a:7077", "hdfs://x/y")) == "hdfs://x/y"
+    assert session.shared_folder(named("local[4]")) == session.shared_folder(named("local"))
+    for master in ("spark://a:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_folder(named(master))
