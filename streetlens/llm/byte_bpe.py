@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import re
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -35,6 +36,9 @@ OVERLAP_CHARS = 1 << 9
 REMEMBERED = 1 << 17
 #: The pattern's longest alternative that looks at a fixed text is three characters.
 LOOK_AHEAD = 3
+#: The last code point of the basic plane, and a character behind it.
+BASIC = 0xFFFF
+_BEHIND = re.compile("[\U00010000-\U0010ffff]")
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -112,8 +116,14 @@ class Codec:
         for token, rank in ranks.items():
             self.table[rank] = token
         self.split = re.compile(_python_pattern(pattern))
+        # Python looks up classes of the basic plane in a table, but tries ranges behind it one by one
+        self.basic_split = re.compile(_python_pattern(pattern, BASIC))
         self.pieces = _Pieces(lambda piece: merge(piece, ranks))
 
+    def split_of(self, text: str) -> re.Pattern:
+        """The split for a text: ranges that none of its characters can be in are left out."""
+        return self.split if not text.isascii() and _BEHIND.search(text) else self.basic_split
+
     def encode_pieces(self, pieces: list[str]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, pieces))
 
@@ -121,8 +131,9 @@ class Codec:
         return b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-def _class_of(escape: str) -> str:
-    """A class that the tokenizer library's Unicode tables give, for Python's re."""
+@lru_cache
+def _ranges(escape: str) -> list[tuple[int, int]]:
+    """Ranges of a class in the tokenizer library's Unicode tables."""
     import tiktoken
 
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
@@ -130,16 +141,21 @@ def _class_of(escape: str) -> str:
     codes = np.frombuffer(one.decode_bytes(one.encode_ordinary(every)).decode().encode("utf-32-le"), "<u4")
     ends = np.flatnonzero(np.diff(codes) != 1)
     first, last = codes[np.r_[0, ends + 1]], codes[np.r_[ends, len(codes) - 1]]
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first.tolist(), last.tolist(), strict=True))
+    return list(zip(first.tolist(), last.tolist(), strict=True))
+
+
+def _class_of(escape: str, top: int) -> str:
+    """A class for Python's re, up to a code point."""
+    return "".join(f"\\U{a:08x}-\\U{min(b, top):08x}" for a, b in _ranges(escape) if a <= top)
 
 
-def _python_pattern(pattern: str) -> str:
+def _python_pattern(pattern: str, top: int = 0x10FFFF) -> str:
     """The pattern with its classes written out, as the library's own tables have them."""
     for escape in (r"\p{L}", r"\p{N}", r"\s"):
-        members = _class_of(escape)
+        members = _class_of(escape, top)
         pattern = re.sub(r"(\[[^\]]*)" + re.escape(escape), lambda m, members=members: m[1] + members, pattern)
         pattern = pattern.replace(escape, f"[{members}]")
-    members = _class_of(r"\s")
+    members = _class_of(r"\s", top)
     return pattern.replace(r"\S", f"[^{members}]")
 
 
@@ -212,7 +228,7 @@ def encode(
         own = codec(path, pattern)
 
         def encode_slice(batch: pa.RecordBatch) -> dict:
-            ids = [own.encode_pieces(own.split.findall(t)) for t in batch.column(1).to_pylist()]
+            ids = [own.encode_pieces(own.split_of(t).findall(t)) for t in batch.column(1).to_pylist()]
             out = {"doc_id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
             return out | ({"decoded": [own.decode(x) for x in ids]} if decoded else {})
 
@@ -245,7 +261,7 @@ def encode(
         for batch in batches:
             for part in slices([batch]):
                 at = zip(part.column(1).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)
-                found = [np.array(chunk_boundaries(own.split, t, i * chunk_chars, i == of - 1), "<i4").tobytes() for t, of, i in at]
+                found = [np.array(chunk_boundaries(own.split_of(t), t, i * chunk_chars, i == of - 1), "<i4").tobytes() for t, of, i in at]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=["doc_id", "text", "key", "copies", "of", "chunk", "boundaries"])
 
     split_up = chunks.mapInArrow(split_chunks, "doc_id long, text string, key string, copies long, of int, chunk int, boundaries binary")
@@ -254,7 +270,7 @@ def encode(
         own = codec(path, pattern)
         rows_in = sorted(zip(group["chunk"].to_pylist(), group["text"].to_pylist(), group["boundaries"].to_pylist(), strict=True), key=lambda r: r[0])
         whole = "".join(t[:chunk_chars] for _, t, _ in rows_in[:-1]) + rows_in[-1][1]
-        ends = stitch(own.split, whole, [np.frombuffer(b, "<i4").tolist() for _, _, b in rows_in], chunk_chars)
+        ends = stitch(own.split_of(whole), whole, [np.frombuffer(b, "<i4").tolist() for _, _, b in rows_in], chunk_chars)
         ids = own.encode_pieces([whole[a:b] for a, b in zip(ends, ends[1:], strict=False)])
         columns = [pa.array([group["doc_id"][0].as_py()], pa.int64()), pa.array([len(ids) // 4], pa.int64()), pa.array([ids], pa.binary())]
         if decoded:

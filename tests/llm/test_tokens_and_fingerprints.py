@@ -57,6 +57,16 @@ def test_unicode_classes_are_the_librarys():
     assert [x for p in pieces for x in own.encode_ordinary(p)] == own.encode_ordinary(text)
 
 
+def test_a_text_of_the_basic_plane_is_split_alike_without_ranges_behind_it():
+    own = byte_bpe.codec()
+    basic = "".join(f"a{chr(c)}1 {chr(c)}{chr(c)}\n" for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    assert own.split_of(basic) is own.basic_split and own.split_of("plain") is own.basic_split and own.split_of("") is own.basic_split
+    assert own.basic_split.findall(basic) == own.split.findall(basic)
+    behind = "a\U00010400b \U0001d7ce1 \U0001f600! \uffff\U00010000"
+    assert own.split_of(behind) is own.split
+    assert b"".join(own.decode(own.encode_pieces(own.split_of(t).findall(t))) for t in (basic, behind)) == (basic + behind).encode()
+
+
 def plain_fingerprint(text):
     import xxhash
 
