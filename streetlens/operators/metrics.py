@@ -14,16 +14,21 @@ from streetlens.operators.raycast import angles, distance
 def rings(hits: DataFrame, keys: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """One row for each key (pano, variant) with ring: the distance of every ray in order,
     the whole range where it hits nothing. Keys without any hit have such a row as well."""
-    found = by_pano(hits).groupBy("pano", "variant").agg(F.map_from_entries(F.collect_list(F.struct("ray", "hit_s"))).alias("at"))
+    found = by_pano(hits).groupBy("pano", "variant").agg(F.array_sort(F.collect_list(F.struct("ray", "hit_s"))).alias("at"))
     full = by_pano(keys.select("pano", "variant").distinct()).join(found, ["pano", "variant"], "left")
-    ring = F.transform(F.sequence(F.lit(0), F.lit(config.n_rays - 1)), lambda r: distance(F.try_element_at(F.col("at"), r), config))
-    return full.select("pano", "variant", ring.alias("ring"))
+    none = lambda n: F.array_repeat(F.lit(config.max_range), n.cast("int"))
+    # each hit with the rays without one before it, so that a ring takes one pass over its hits
+    before = lambda i: F.when(i > 0, F.col("at")[i - 1]["ray"]).otherwise(F.lit(-1))
+    parts = F.transform("at", lambda x, i: F.concat(none(x["ray"] - before(i) - 1), F.array(distance(x["hit_s"], config))))
+    ring = F.concat(F.flatten(parts), none(F.lit(config.n_rays - 1) - F.element_at("at", -1)["ray"]))
+    return full.select("pano", "variant", F.coalesce(ring, none(F.lit(config.n_rays))).alias("ring"))
 
 
 def sight_ahead(ring: Column, config: Config = DEFAULT) -> Column:
     """The median distance of the rays in the cone ahead."""
     ahead = [i for i, a in enumerate(angles(config)) if a % 360 <= config.front_cone_deg or a % 360 >= 360 - config.front_cone_deg]
-    ordered = F.array_sort(F.transform(F.array(*[F.lit(i) for i in ahead]), lambda i: F.element_at(ring, i + 1)))
+    # the ring is no part of the function: Spark would make it again for each ray
+    ordered = F.array_sort(F.filter(ring, lambda x, i: i.isin(ahead)))
     half = len(ahead) // 2
     if not ahead:
         return F.lit(config.max_range)
