@@ -41,6 +41,19 @@ def unpacked(rows: DataFrame, width: int) -> DataFrame:
     return every.where(F.expr("shiftright(w[col div 64], col % 64) & 1L = 1")).select(*keys, "col", "row")
 
 
+def blocks(cells: DataFrame) -> DataFrame:
+    """Cells as words of bits: the keys, row, block and bits, the 64 columns from 64 * block."""
+    keys = [c for c in cells.columns if c not in ("col", "row")]
+    return cells.groupBy(*keys, "row", F.shiftright("col", 6).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, col & 63)")).alias("bits"))
+
+
+def unblocked(words: DataFrame) -> DataFrame:
+    """The cells of words of bits."""
+    keys = [c for c in words.columns if c not in ("row", "block", "bits")]
+    every = words.select(*keys, "row", "block", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    return every.where("shiftright(bits, bit) & 1L = 1").select(*keys, F.expr("cast(block * 64 + bit as int)").alias("col"), "row")
+
+
 def _shifted(words: list[str], width: int, beyond: bool) -> tuple[list[Column], list[Column]]:
     """The bits of each column's neighbour to the left and to the right; what is beyond
     the edge counts as set or not."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from streetlens.config import DEFAULT, Config
 from streetlens.operators.layout import by_pano
+from streetlens.operators.raster import unblocked
 
 #: Rows of a ray table above which it is not hinted for broadcast.
 BROADCAST_ROWS = 500_000
@@ -70,18 +71,22 @@ def first_hits(occupied: DataFrame, cells: DataFrame, config: Config = DEFAULT,
     return met.groupBy("pano", "variant", "ray", "ang").agg(F.min("smin").alias("hit_s"))
 
 
+def shadow_blocks(hits: DataFrame, cells: DataFrame, config: Config = DEFAULT, single: bool = False) -> DataFrame:
+    """Cells at or behind the first hit of a ray, as words of bits (raster.blocks): pano,
+    variant, row, block, bits. Bits are or-ed, which generated code does in a hash table
+    before the shuffle, instead of cells being made distinct."""
+    words = -(-(config.single_grid[0] if single else config.canvas) // 64)
+    marked = cells.select("ray", "smax", (F.col("row") * words + F.expr("col div 64")).cast("int").alias("word"), F.expr("shiftleft(1L, col % 64)").alias("bit"))
+    behind = by_pano(hits.select("pano", "variant", "ray", "hit_s")).join(_small(marked, config, single), "ray").where("smax >= hit_s")
+    marks = behind.groupBy("pano", "variant", "word").agg(F.bit_or("bit").alias("bits"))
+    return marks.select("pano", "variant", F.expr(f"cast(word div {words} as int)").alias("row"), F.expr(f"word % {words}").alias("block"), "bits")
+
+
 def shadow_cells(hits: DataFrame, cells: DataFrame, config: Config = DEFAULT, single: bool = False) -> DataFrame:
     """Cells at or behind the first hit of a ray, once each: pano, variant, col, row."""
-    behind = by_pano(hits.select("pano", "variant", "ray", "hit_s")).join(_small(cells.drop("ang"), config, single), "ray").where("smax >= hit_s")
-    return behind.select("pano", "variant", "col", "row").distinct()
+    return unblocked(shadow_blocks(hits, cells, config, single))
 
 
 def shadow_counts(hits: DataFrame, cells: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The number of shadow cells of each pano and variant. Cells are bits of 64-bit words
-    of a grid row that are or-ed, which generated code does in a hash table before the
-    shuffle, instead of being made distinct."""
-    words = -(-config.canvas // 64)
-    marked = cells.select("ray", "smax", (F.col("row") * words + F.expr("col div 64")).cast("int").alias("word"), F.expr("shiftleft(1L, col % 64)").alias("bit"))
-    behind = by_pano(hits.select("pano", "variant", "ray", "hit_s")).join(_small(marked, config, False), "ray").where("smax >= hit_s")
-    marks = behind.groupBy("pano", "variant", "word").agg(F.bit_or("bit").alias("bits"))
-    return marks.groupBy("pano", "variant").agg(F.sum(F.bit_count("bits")).cast("long").alias("shadow_cells"))
+    """The number of shadow cells of each pano and variant."""
+    return shadow_blocks(hits, cells, config).groupBy("pano", "variant").agg(F.sum(F.bit_count("bits")).cast("long").alias("shadow_cells"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from streetlens.operators import metrics
+from streetlens.operators import metrics, raster, raycast
 
 
 def plan_of(df) -> str:
@@ -23,3 +23,14 @@ def test_a_ring_is_made_once(spark):
     sight = ring.select("pano", metrics.sight_ahead(F.col("ring")).alias("l"))
     assert {r.pano: r.l for r in sight.collect()} == {1: 60.0, 2: 60.0}
     assert "map_from_entries" not in plan_of(sight)  # no search of all hits for each ray
+
+
+def test_shadows_are_words(spark):
+    rays = raycast.ray_cells(spark)
+    occupied = spark.createDataFrame([(1, "occ", 120, 100), (1, "occ", 63, 64), (1, "occ", 64, 190)], "pano int, variant string, col int, row int")
+    hits = raycast.first_hits(occupied, rays)
+    cells = raycast.shadow_cells(hits, rays)
+    want = hits.select("pano", "variant", "ray", "hit_s").join(rays, "ray").where("smax >= hit_s").select("pano", "variant", "col", "row").distinct()
+    assert cells.exceptAll(want).count() == 0 and want.exceptAll(cells).count() == 0
+    assert "bit_or" in plan_of(cells)  # cells are not made distinct one by one
+    assert raster.unblocked(raster.blocks(cells)).exceptAll(cells).count() == 0
