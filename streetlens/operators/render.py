@@ -7,20 +7,33 @@ from pyspark.sql import functions as F
 
 from streetlens.config import DEFAULT, HAZARD_RGB, LAYER_RGB, NO_DATA_RGB, SHADOW_RGB, Config
 from streetlens.functions.geometry import polar_to_pixel
+from streetlens.operators.raster import blocks, unblocked
 
-
-def _rgb(rgb: tuple[int, int, int], order: int) -> Column:
-    return F.struct(F.lit(order).alias("z"), *[F.lit(x).alias(c) for x, c in zip(rgb, "rgb", strict=True)])
+#: The shadow among the layers.
+SHADOW = "(shadow)"
 
 
 def composite(layers: DataFrame, shadow: DataFrame | None = None, shadow_rgb: tuple[int, int, int] = SHADOW_RGB) -> DataFrame:
     """The topmost colour of each cell of layers (pano, layer, col, row); cells without any
-    are left out and show NO_DATA_RGB. A shadow (pano, col, row) goes over everything."""
-    order = F.create_map(*[x for i, (name, rgb) in enumerate(LAYER_RGB) for x in (F.lit(name), _rgb(rgb, i))])
-    cells = layers.select("pano", "col", "row", F.element_at(order, F.col("layer")).alias("p"))
+    are left out and show NO_DATA_RGB. A shadow goes over everything: cells (pano, col,
+    row), or words of their bits (pano, row, block, bits). Colours are found for the 64
+    cells of a word at a time; a layer without a colour is under all others."""
+    cells = blocks(layers.select("pano", "layer", "col", "row"))
+    drawn = [*LAYER_RGB]
     if shadow is not None:
-        cells = cells.unionByName(shadow.select("pano", "col", "row", _rgb(shadow_rgb, len(LAYER_RGB)).alias("p")))
-    return cells.groupBy("pano", "col", "row").agg(F.max("p").alias("p")).select("pano", "col", "row", "p.r", "p.g", "p.b")
+        marks = shadow.select("pano", "row", "block", "bits") if "bits" in shadow.columns else blocks(shadow.select("pano", "col", "row"))
+        cells = cells.unionByName(marks.withColumn("layer", F.lit(SHADOW)))
+        drawn.append((SHADOW, shadow_rgb))
+    known = F.col("layer").isin([name for name, _ in drawn])
+    bits = [F.bit_or(F.when(F.coalesce(on, F.lit(False)), F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k, on in enumerate([~F.coalesce(known, F.lit(False)), *[F.col("layer") == name for name, _ in drawn]])]
+    words = cells.groupBy("pano", "row", "block").agg(*bits)
+    colours = [(None, None, None), *[rgb for _, rgb in drawn]]
+    shown, over = [], F.lit(0).cast("long")
+    for k in reversed(range(len(colours))):
+        shown.append(F.struct(F.col(f"b{k}").bitwiseAND(F.bitwise_not(over)).alias("bits"), *[F.lit(x).cast("int").alias(c) for x, c in zip(colours[k], "rgb", strict=True)]))
+        over = over.bitwiseOR(F.col(f"b{k}"))
+    seen = words.select("pano", "row", "block", F.explode(F.array(*shown)).alias("p")).where("p.bits != 0")
+    return unblocked(seen.select("pano", "row", "block", "p.bits", "p.r", "p.g", "p.b")).select("pano", "col", "row", "r", "g", "b")
 
 
 def hazard_composite(layers: DataFrame, shadow: DataFrame) -> DataFrame:

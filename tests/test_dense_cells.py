@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from streetlens.operators import metrics, raster, raycast
+from streetlens.operators import metrics, raster, raycast, render
 
 
 def plan_of(df) -> str:
@@ -34,3 +34,12 @@ def test_shadows_are_words(spark):
     assert cells.exceptAll(want).count() == 0 and want.exceptAll(cells).count() == 0
     assert "bit_or" in plan_of(cells)  # cells are not made distinct one by one
     assert raster.unblocked(raster.blocks(cells)).exceptAll(cells).count() == 0
+
+
+def test_composites_take_words(spark):
+    layers = spark.createDataFrame([(1, "road", 3, 3), (1, "occ", 3, 3), (1, "new", 3, 3), (1, "new", 70, 3), (1, "sidewalk", 64, 4)], "pano int, layer string, col int, row int")
+    shadow = spark.createDataFrame([(1, 64, 4), (1, 127, 4)], "pano int, col int, row int")
+    by_cells, by_words = (render.composite(layers, s) for s in (shadow, raster.blocks(shadow)))
+    want = {(3, 3, 220, 80, 80), (70, 3, None, None, None), (64, 4, 255, 200, 0), (127, 4, 255, 200, 0)}
+    assert set(map(tuple, by_cells.drop("pano").collect())) == want
+    assert set(map(tuple, by_words.drop("pano").collect())) == want
