@@ -58,9 +58,21 @@ def overlay(image_px: DataFrame, detected: DataFrame, vehicle_px: DataFrame, col
     class_id) and then vehicles blended over it; colours: class_id, b, g, r, a grey where
     there is none. Each channel is cut to 0..255 and to a whole number at the end."""
     keys = ["pano", "dir", "u", "v"]
-    tint = detected.join(colours.select("class_id", *[F.col(c).alias(f"c{c}") for c in "bgr"]), "class_id", "left")
-    tint = tint.select(*keys, *[F.coalesce(f"c{c}", F.lit(x)).alias(f"c{c}") for c, x in zip("bgr", config.default_bgr, strict=True)])
+    tint = tints(detected.join(colours, "class_id", "left"), config).select(*keys, *[f"c{c}" for c in "bgr"])
     joined = image_px.join(tint, keys, "left").join(vehicle_px.select(*keys, F.lit(True).alias("veh")), keys, "left")
+    return blended(joined, config)
+
+
+def tints(colours: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Colours b, g, r as cb, cg, cr, a grey where there is none."""
+    grey = {f"c{c}": F.coalesce(c, F.lit(x)) for c, x in zip("bgr", config.default_bgr, strict=True)}
+    return colours.withColumns(grey).drop(*"bgr")
+
+
+def blended(px: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Pixels (pano, dir, u, v, b, g, r) with a tint (cb, cg, cr) where there is one, and
+    then the colour of vehicles where veh is true."""
+    keys = ["pano", "dir", "u", "v"]
     keep = 1 - config.overlay_alpha
     mixed = {}
     for c, vehicle in zip("bgr", config.vehicle_bgr, strict=True):
@@ -68,7 +80,7 @@ def overlay(image_px: DataFrame, detected: DataFrame, vehicle_px: DataFrame, col
         x = F.when(F.col(f"c{c}").isNotNull(), (x * F.lit(keep) + F.col(f"c{c}") * F.lit(config.overlay_alpha)).cast("float")).otherwise(x)
         x = F.when(F.col("veh"), (x * F.lit(keep) + F.lit(vehicle * config.overlay_alpha)).cast("float")).otherwise(x)
         mixed[c] = F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(255.0))).cast("int")
-    return joined.select(*keys, *[mixed[c].alias(c) for c in "bgr"])
+    return px.select(*keys, *[mixed[c].alias(c) for c in "bgr"])
 
 
 def colour_map(depth_px: DataFrame, table: DataFrame) -> DataFrame:
