@@ -38,6 +38,10 @@ COUNTED = 1 << 12
 ALL_PAIRS, NEXT = 16, 4
 #: Members of a band that one window holds.
 RUN = 1 << 16
+#: Members of a large band that one task meets with those of other components.
+MEET = 1 << 10
+#: Counters of a sketch, a byte each.
+COUNTERS = 512
 #: Rounds in which a component's likeliest pair alone is checked, before all others.
 ROUNDS = 2
 
@@ -78,7 +82,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text_key, set_key, bands and fingerprint of every row."""
+    """doc_id, text_key, set_key, bands, fingerprint and number of shingles of every row."""
     import xxhash
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
@@ -88,11 +92,18 @@ def _sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
             own = [shingles(t) for t in batch.column(1).to_pylist()]
             keys = b"".join(xxhash.xxh64_digest(s.tobytes(), SEED) for s in own)
             bits = b"".join(simhash.majority((s[i : i + COUNTED].astype(">u8").tobytes() for i in range(0, len(s), COUNTED)), len(s)) for s in own)
-            return {"doc_id": batch.column(0), "text_key": batch.column(2), "set_key": pa.array(np.frombuffer(keys, "<i8")), "bands": list(map(bands, own)), "fp": pa.array(np.frombuffer(bits, ">i8").astype("<i8"))}
+            return {"doc_id": batch.column(0), "text_key": batch.column(2), "set_key": pa.array(np.frombuffer(keys, "<i8")), "bands": list(map(bands, own)), "fp": pa.array(np.frombuffer(bits, ">i8").astype("<i8")), "shingles": pa.array(list(map(len, own)), pa.int32())}
 
         return run
 
-    return map_slices(rows, per_slice, "doc_id long, text_key long, set_key long, bands binary, fp long")
+    return map_slices(rows, per_slice, "doc_id long, text_key long, set_key long, bands binary, fp long, shingles int")
+
+
+def _members(sets: DataFrame, *also: str) -> DataFrame:
+    """The members of each band i: i, band, next (its next band) and set_key."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
+    band = lambda i: F.expr(f"conv(hex(substring(bands, ({i}) * 8 + 1, 8)), 16, -10)").cast("long")
+    return sets.where("length(bands) > 0").select("set_key", "bands", *also, at.alias("i")).select("i", band("i").alias("band"), band(f"(i + 1) % {BANDS}").alias("next"), "set_key", *also)
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -100,12 +111,11 @@ def candidates(sets: DataFrame) -> DataFrame:
     bands; near fingerprints count as all of them.
 
     Of a band that few sets have, all pairs; of one that many have, each with the smallest
-    and with the next ones in the order of the next band. Members are counted first; many
+    and with the next ones in the order of the next band; missed() has the others, once
+    components are known. Members are counted first; many
     are dealt over runs by a hash, which the smallest connects, so that no task holds or
     sorts a whole group."""
-    at = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    band = lambda i: F.expr(f"conv(hex(substring(bands, ({i}) * 8 + 1, 8)), 16, -10)").cast("long")
-    members = sets.where("length(bands) > 0").select("set_key", "bands", at.alias("i")).select("i", band("i").alias("band"), band(f"(i + 1) % {BANDS}").alias("next"), "set_key")
+    members = _members(sets)
     groups = members.groupBy("i", "band").agg(F.count(F.lit(1)).alias("size"), F.min("set_key").alias("hub")).where("size > 1")
     met = members.join(groups, ["i", "band"]).withColumn("run", F.when(F.col("size") > RUN, F.pmod(F.xxhash64("set_key"), F.ceil(F.col("size") / RUN))).otherwise(0).cast("int"))
     order = Window.partitionBy("i", "band", "run").orderBy("next", "set_key")
@@ -116,6 +126,58 @@ def candidates(sets: DataFrame) -> DataFrame:
     return pairs.groupBy(F.greatest("set_key", "other").alias("u"), F.least("set_key", "other").alias("v")).agg(F.sum("n").alias("n"))
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles fall to each counter; nothing where one has too many for a byte."""
+    counts = np.bincount((own % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    def per_slice():
+        return lambda batch: {"set_key": batch.column(0), "sketch": pa.array([sketch(shingles(t)) for t in batch.column(1).to_pylist()], pa.binary())}
+
+    return map_slices(texts.select("set_key", "text"), per_slice, "set_key long, sketch binary")
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (u, v, i, a, b) whose sketches a, b allow the similarity: two sets have no more
+    shingles in common than the smaller counts together, so that no link is lost."""
+    for batch in batches:
+        a, b = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        keep = np.ones(batch.num_rows, bool)
+        both = np.array([k for k in range(batch.num_rows) if a[k] and b[k]], np.int64)
+        if len(both):
+            x, y = (np.frombuffer(b"".join(c[k] for k in both), np.uint8).reshape(-1, COUNTERS) for c in (a, b))
+            common, total = np.minimum(x, y).sum(axis=1, dtype=np.int64), x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
+            keep[both] = common * LEAST[1] >= LEAST[0] * (total - common)
+        yield batch.select([0, 1, 2]).filter(pa.array(keep))
+
+
+def missed(sets: DataFrame, stars: DataFrame, pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """The rest of candidates(), exactly: all pairs u > v of a band with many members that
+    are no pair yet, are in different components (stars: u, v), and have numbers of
+    shingles that allow the similarity; and n, how many such bands.
+
+    texts (set_key, text): pairs that sketches of them rule out are left out, too.
+    Of a group of copies nothing is left. Elsewhere the members outside of a band's largest
+    component meet all members, which are dealt over tasks."""
+    rooted = sets.select("set_key", "bands", "shingles").join(stars.withColumnRenamed("u", "set_key"), "set_key", "left").withColumn("root", F.coalesce("v", "set_key")).drop("v")
+    members = _members(rooted, "root", "shingles").drop("next")
+    parts = members.groupBy("i", "band", "root").agg(F.count(F.lit(1)).alias("part"))
+    split = parts.groupBy("i", "band").agg(F.sum("part").alias("size"), F.max(F.struct("part", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("parts"))
+    met = members.join(split.where(f"size > {ALL_PAIRS} and parts > 1").drop("parts"), ["i", "band"])
+    met = met.withColumn("sketch", F.lit(b"")) if texts is None else met.join(_sketches(texts), "set_key")
+    tasks = F.ceil(F.col("size") / MEET).cast("int")
+    every = met.select("i", "band", F.pmod(F.xxhash64("set_key"), tasks).cast("int").alias("task"), "set_key", "root", "shingles", "sketch")
+    outside = met.where("root != largest").select("i", "band", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.col("set_key").alias("other"), F.col("root").alias("other_root"), F.col("shingles").alias("other_shingles"), F.col("sketch").alias("other_sketch"))
+    alike = F.least("shingles", "other_shingles") * LEAST[1] >= F.greatest("shingles", "other_shingles") * LEAST[0]
+    found = every.join(outside, ["i", "band", "task"]).where((F.col("root") != F.col("other_root")) & alike)
+    found = found.select(F.greatest("set_key", "other").alias("u"), F.least("set_key", "other").alias("v"), "i", F.col("sketch").alias("a"), F.col("other_sketch").alias("b"))
+    small_batches(sets.sparkSession)
+    new = found.mapInArrow(_possible, "u long, v long, i int").distinct().groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+    return new.join(pairs.select("u", "v"), ["u", "v"], "left_anti")
+
+
 def near_fingerprints(sets: DataFrame) -> DataFrame:
     """Spanning pairs (set_key, other) of sets whose fingerprints BK-trees link."""
     some = sets.where("length(bands) > 0")
@@ -141,10 +203,16 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Stars (u, v) of the sets that similar pairs form."""
-    left = pairs.withColumns({"cu": F.col("u"), "cv": F.col("v")})
-    stars = None
+def _between(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+    """Pairs (u, v, n) of different components, with those (cu, cv)."""
+    of = lambda key, name: stars.select(F.col("u").alias(key), F.col("v").alias(name))
+    rooted = pairs.join(of("u", "ru"), "u", "left").join(of("v", "rv"), "v", "left")
+    return rooted.select("u", "v", "n", F.coalesce("ru", "u").alias("cu"), F.coalesce("rv", "v").alias("cv")).where("cu != cv")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, stars: DataFrame | None = None) -> DataFrame:
+    """Stars (u, v) of the sets that similar pairs form, and stars found before."""
+    left = pairs.withColumns({"cu": F.col("u"), "cv": F.col("v")}) if stars is None else _between(pairs, stars)
     for k in range(ROUNDS + 1):
         chosen = left.select("u", "v")
         if k < ROUNDS:
@@ -154,9 +222,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         new = checkpointed(checked(chosen, texts))
         stars = connected(new if stars is None else stars.union(new))
         if k < ROUNDS:
-            of = lambda key, name: stars.select(F.col("u").alias(key), F.col("v").alias(name))
-            left = left.select("u", "v", "n").join(chosen, ["u", "v"], "left_anti").join(of("u", "ru"), "u", "left").join(of("v", "rv"), "v", "left")
-            left = checkpointed(left.select("u", "v", "n", F.coalesce("ru", "u").alias("cu"), F.coalesce("rv", "v").alias("cv")).where("cu != cv"))
+            left = checkpointed(_between(left.select("u", "v", "n").join(chosen, ["u", "v"], "left_anti"), stars))
     return stars
 
 
@@ -170,7 +236,7 @@ def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     names."""
     rows = checkpointed(_sets(df, doc_id, text))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
-    sets = checkpointed(rows.groupBy("set_key").agg(first, F.first("bands").alias("bands"), F.first("fp").alias("fp")))
+    sets = checkpointed(rows.groupBy("set_key").agg(first, F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles")))
     pairs = checkpointed(candidates(sets))
     met = pairs.select(F.explode(F.array("u", "v")).alias("set_key")).distinct()
     # a table has a size that Spark knows: it is broadcast under spark.sql.autoBroadcastJoinThreshold, and beyond it texts are shuffled
@@ -178,6 +244,9 @@ def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     texts = df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     texts = checkpointed(texts.join(wanted, (F.col("key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of_id"))).select("set_key", "text").dropDuplicates(["set_key"]))
     stars = _links(pairs, texts)
+    rest = checkpointed(missed(sets, stars, pairs, texts))
+    if not rest.isEmpty():
+        stars = _links(rest, texts, stars)
     labelled = sets.join(stars.withColumnRenamed("u", "set_key"), "set_key", "left").select("first", F.coalesce("v", "set_key").alias("root"))
     kept = labelled.groupBy("root").agg(F.min("first").alias("kept")).select("kept.doc_id", "kept.text_key")
     return simhash.only(df, kept, doc_id=doc_id, text=text)

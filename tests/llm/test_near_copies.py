@@ -55,3 +55,40 @@ def test_a_large_group(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(k, " ".join([*words[:k], "x", *words[k + 1 :]])) for k in range(200)]
     assert [r.doc_id for r in near_copies.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_no_pair_of_a_large_band_is_left_out(spark):
+    """30 sets share a band; all but those in one component meet."""
+    rows = [(k, (7).to_bytes(8, "big") + b"".join((1000 * k + i).to_bytes(8, "big") for i in range(1, near_copies.BANDS)), k, 100 if k < 29 else 10) for k in range(30)]
+    sets = spark.createDataFrame(rows, "set_key long, bands binary, fp long, shingles int")
+    stars = spark.createDataFrame([(k, 0) for k in range(1, 12)], "u long, v long")
+    first = sets.join(spark.createDataFrame([(0,)], "z int")).select("set_key").crossJoin(sets.select(sets.set_key.alias("v"))).where("set_key = v + 1").selectExpr("set_key as u", "v")
+    got = sorted((r.u, r.v) for r in near_copies.missed(sets, stars, first).collect())
+    assert got == [(u, v) for u in range(29) for v in range(u) if u >= 12 and u != v + 1]
+
+
+def test_few_edges_are_joined_in_one_task(spark):
+    from streetlens.llm import components
+
+    rng = __import__("random").Random(3)
+    edges = [(a, b) for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(250)) if a != b]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    few = {(r.u, r.v) for r in components.connected(df).collect()}
+    bound, components.FEW = components.FEW, 0
+    try:
+        assert few == {(r.u, r.v) for r in components.connected(df).collect()} and few
+    finally:
+        components.FEW = bound
+
+
+def test_sketches_lose_no_link():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    a = [rng.integers(0, 1 << 62, 400).astype(np.uint64) for _ in range(30)]
+    b = [np.concatenate([x[: 400 - 2 * k], rng.integers(0, 1 << 62, 2 * k).astype(np.uint64)]) for k, x in enumerate(a)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(range(30)), pa.array([0] * 30, pa.int32()), *[pa.array(list(map(near_copies.sketch, s)), pa.binary()) for s in (a, b)]], names=["u", "v", "i", "a", "b"])
+    kept = set(next(near_copies._possible(iter([rows]))).column(0).to_pylist())
+    assert kept >= {k for k in range(30) if near_copies.similar(np.unique(a[k]), np.unique(b[k]))} and len(kept) < 30
+    assert near_copies.sketch(np.zeros(300, np.uint64)) == b""
