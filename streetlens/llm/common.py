@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -66,6 +68,14 @@ def slices(batches: Iterator[pa.RecordBatch], text_field: int = 1) -> Iterator[p
         yield batch.slice(start)
 
 
+def given_back() -> None:
+    """Let the system have what Arrow and the C library hold free. A Python worker outlives
+    its task, and what a stage has freed would count beside what the next one takes."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def map_slices(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, text_field: int = 1) -> DataFrame:
     """mapInArrow over slices. per_slice is called once per task and returns the
     function that turns a slice into a dict of columns in the order of schema."""
@@ -77,6 +87,8 @@ def map_slices(df: DataFrame, per_slice: Callable[[], Callable[[pa.RecordBatch],
         for part in slices(batches, text_field):
             out = fn(part)
             yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
+        fn = part = out = None
+        given_back()
 
     return df.mapInArrow(run, schema)
 

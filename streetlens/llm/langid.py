@@ -14,12 +14,11 @@ import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streetlens.llm.common import id_crc, map_slices, small_batches
+from streetlens.llm.common import given_back, id_crc, map_slices, small_batches
 
 N = 4
 HASHES = 3
@@ -222,11 +221,12 @@ def language_of(df: DataFrame, filters: Filters, text: str = "text") -> Column:
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            langs, scores = shared.value.predict(texts.tolist())
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            langs, scores = shared.value.predict(texts.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        given_back()
 
     return judged(F.coalesce(F.col(text), F.lit("")))
 

@@ -14,16 +14,17 @@ label, later the one that the network itself scores highest.
 from __future__ import annotations
 
 import dataclasses
+import re
 import string
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streetlens.llm.common import id_crc, map_slices, small_batches
+from streetlens.llm.common import given_back, id_crc, map_slices, small_batches
 
 WINDOW = 32
 STRIDE = 24
@@ -53,6 +54,8 @@ PIECE, OVERLAP = 40, 8
 
 #: What a word may have at its ends.
 _EDGES = string.punctuation + "“”„«»‘’‚…–—¿¡·"
+#: What str.split() splits at.
+_SPACE = re.compile(r"\s")
 
 
 def plain(word: str) -> str:
@@ -74,6 +77,15 @@ def steps(text: str) -> list[str]:
     return out
 
 
+def spans(text: str) -> Iterator[str]:
+    """A text in parts of about RUN_CHARS characters that no word crosses."""
+    start = 0
+    while len(text) - start > RUN_CHARS and (space := _SPACE.search(text, start + RUN_CHARS)):
+        yield text[start : space.start()]
+        start = space.end()
+    yield text[start:] if start else text
+
+
 def word_features(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """The row of each word, and for each n-gram length the rows of all n-grams with
     the number of n-grams of each word."""
@@ -138,13 +150,19 @@ class Network:
         b[:, :HIDDEN] = -0.5
         return Network(draw(WORD_ROWS, SIZE, s=0.02), draw(GRAM_ROWS, SIZE, s=0.05), draw(2, 2 * SIZE, 3 * HIDDEN, s=0.2), b, draw(2, HIDDEN, 3 * HIDDEN, s=0.2), draw(2, HIDDEN, s=0.3), draw(2, HIDDEN, s=0.3), np.full(1, -1.0, np.float32))
 
-    def inputs(self, words: list[str]) -> np.ndarray:
-        """What each word adds to both directions' gates."""
+    def embedded(self, words: list[str]) -> np.ndarray:
+        """What each word enters as."""
         rows, grams = word_features(words)
         total, count = _sum_grams(self.grams, grams, len(words))
-        x = np.concatenate([self.words[rows] * MET, total / np.sqrt(count)[:, None]], axis=1)
+        return np.concatenate([self.words[rows] * MET, total / np.sqrt(count)[:, None]], axis=1)
+
+    def gates(self, x: np.ndarray) -> np.ndarray:
+        """What embedded words add to both directions' gates."""
         return np.concatenate([x @ self.w[0] + self.b[0], x @ self.w[1] + self.b[1]], axis=1).astype(np.float32)
 
+    def inputs(self, words: list[str]) -> np.ndarray:
+        return self.gates(self.embedded(words))
+
     def forward(self, gates: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows. gates: T x 2 x B x 3 HIDDEN, the second direction reversed in
         time; mask: T x 2 x B x 1."""
@@ -210,37 +228,53 @@ class _Numbers(dict):
 
 
 class Scorer:
-    """Scores of texts, with a bounded table of the inputs of words met. When it is full,
-    the later half goes: the words that are frequent came first."""
+    """Scores of texts, with a bounded table of the embedded words met. When it is full,
+    the later half goes: the words that are frequent came first. Their inputs, more than
+    twice as wide, are taken for the words of some windows at a time."""
 
     def __init__(self, network: Network):
         self.network = network
         self.known = _Numbers()
-        self.table = np.empty((REMEMBERED, 6 * HIDDEN), np.float32)
+        self.table = np.empty((REMEMBERED, 2 * SIZE), np.float32)
 
-    def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def numbers(self, text: str) -> np.ndarray:
+        """The words of a text as rows of the table; a long text is split some of it at a time."""
+        row_of = self.known.__getitem__
+        found = [np.fromiter(map(row_of, words), np.int32, len(words)) for words in map(steps, spans(text))]
+        return found[0] if len(found) == 1 else np.concatenate(found)
+
+    def rows(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED // 2 + REMEMBERED // 4:
             for word in list(self.known)[REMEMBERED // 2 :]:
                 del self.known[word]
-            self.table = self.table[:REMEMBERED]
+            if len(self.table) > REMEMBERED:
+                self.table = self.table[:REMEMBERED].copy()  # a view would hold all of it
         first = len(self.known)
-        row_of = self.known.__getitem__
-        found = [np.fromiter(map(row_of, t), np.int32, len(t)) for t in texts]
+        found = [self.numbers(t) for t in texts]
         new, self.known.new = self.known.new, []
         if len(self.table) < len(self.known):  # one run of texts that has very many new words
-            self.table = np.concatenate([self.table[:first], np.empty((len(new), 6 * HIDDEN), np.float32)])
+            self.table = np.concatenate([self.table[:first], np.empty((len(new), 2 * SIZE), np.float32)])
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            self.table[first + i : first + i + len(part)] = self.network.inputs(part)
+            self.table[first + i : first + i + len(part)] = self.network.embedded(part)
         return found
 
+    def windows_logit(self, ids: np.ndarray) -> np.ndarray:
+        """Logits of windows of rows of the table; -1 is no word."""
+        out = []
+        for start in range(0, len(ids), SCORED):
+            own, at = np.unique(ids[start : start + SCORED], return_inverse=True)
+            none = int(own[0] < 0)
+            out.append(self.network.windows_logit(self.network.gates(self.table[own[none:]]), at.reshape(-1, WINDOW) - none))
+        return np.concatenate(out)
+
     def score(self, texts: list[str]) -> list[float]:
         """The largest probability of a window of each text; 0 without words."""
-        rows = self.rows([steps(t) for t in texts])
+        rows = self.rows(texts)
         cut = [windows(r) for r in rows if len(r)]
         if not cut:
             return [0.0] * len(texts)
-        logits = self.network.windows_logit(self.table, np.concatenate(cut))
+        logits = self.windows_logit(np.concatenate(cut))
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         best = iter(_sigmoid(np.maximum.reduceat(logits, np.cumsum(counts) - counts).astype(float)).tolist())
         return [next(best) if len(r) else 0.0 for r in rows]
@@ -415,13 +449,15 @@ def training_rows(
     return [r[1] for r in found], [r[2] for r in found]
 
 
-def _in_runs(own: Scorer, texts: list[str]) -> list[float]:
+def _in_runs(own: Scorer, texts: pa.Array) -> list[float]:
+    """Scores of a column, of which about RUN_CHARS characters at a time are Python's."""
+    lengths = pc.utf8_length(texts).to_pylist()
     scores, start, held = [], 0, 0
-    for i, t in enumerate([*texts, ""]):
-        if i == len(texts) or (held and held + len(t) > RUN_CHARS):
-            scores += own.score(texts[start:i])
+    for i, n in enumerate([*lengths, 0]):
+        if i == len(lengths) or (held and held + n > RUN_CHARS):
+            scores += own.score(texts.slice(start, i - start).to_pylist())
             start, held = i, 0
-        held += len(t)
+        held += n
     return scores
 
 
@@ -430,11 +466,13 @@ def score_of(df: DataFrame, network: Network, text: str = "text") -> Column:
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(network)
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Scorer(shared.value)
         for texts in batches:
-            yield pd.Series(_in_runs(own, texts.tolist()))
+            yield pa.array(_in_runs(own, texts), pa.float64())
+        del own
+        given_back()
 
     return scores(F.coalesce(F.col(text), F.lit("")))
 
@@ -454,7 +492,7 @@ def score(df: DataFrame, network: Network, *, doc_id: str = "doc_id", text: str
         own = Scorer(shared.value)
 
         def run(batch: pa.RecordBatch) -> dict:
-            scores = _in_runs(own, batch.column(1).to_pylist())
+            scores = _in_runs(own, batch.column(1))
             return {"doc_id": batch.column(0), "held_out": batch.column(2), "score": scores, "predicted": [int(s >= THRESHOLD) for s in scores]}
 
         return run
