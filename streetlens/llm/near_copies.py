@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from streetlens.llm import simhash
 from streetlens.llm.common import checkpointed, map_slices, small_batches
 from streetlens.llm.components import connected
-from streetlens.sources.session import staged
+from streetlens.sources.session import collected, staged
 
 WORDS = 5
 #: The least similarity of a link, as a fraction.
@@ -40,6 +40,8 @@ ALL_PAIRS, NEXT = 16, 4
 RUN = 1 << 16
 #: Members of a large band that one task meets with those of other components.
 MEET = 1 << 10
+#: Members outside of the largest component that one task holds, and pairs that it compares at a time.
+OUTSIDE, COMPARED = 1 << 13, 1 << 14
 #: Counters of a sketch, a byte each.
 COUNTERS = 512
 #: Rounds in which a component's likeliest pair alone is checked, before all others.
@@ -153,6 +155,27 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1, 2]).filter(pa.array(keep))
 
 
+def _meeting(every: pa.Table, outside: pa.Table) -> pa.Table:
+    """Pairs u > v of two sides (i, set_key, root, shingles, sketch) in different components
+    whose numbers of shingles and sketches allow the similarity. They are compared some at
+    a time, so that those ruled out are never rows."""
+    outside = outside.rename_columns([c.removeprefix("other_") for c in outside.column_names])
+    (key, root, size), (other, other_root, other_size) = ([t[c].to_numpy().astype(np.int64) for c in ("set_key", "root", "shingles")] for t in (every, outside))
+    found = [pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32())], names=["u", "v", "i"])]
+    if len(key) and len(other):
+        i, (x, y) = every["i"][0].as_py(), (t["sketch"].combine_chunks() for t in (every, outside))
+        at_once = max(1, COMPARED // len(key))
+        for start in range(0, len(other), at_once):
+            part = slice(start, start + at_once)
+            alike = np.minimum.outer(size, other_size[part]) * LEAST[1] >= np.maximum.outer(size, other_size[part]) * LEAST[0]
+            a, b = np.nonzero(alike & (root[:, None] != other_root[None, part]))
+            u, v = key[a], other[b + start]
+            if len(a):
+                columns = [pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(np.full(len(a), i), pa.int32()), x.take(pa.array(a)), y.take(pa.array(b + start))]
+                found += _possible(iter([pa.RecordBatch.from_arrays(columns, names=["u", "v", "i", "a", "b"])]))
+    return pa.Table.from_batches(found)
+
+
 def missed(sets: DataFrame, stars: DataFrame, pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """The rest of candidates(), exactly: all pairs u > v of a band with many members that
     are no pair yet, are in different components (stars: u, v), and have numbers of
@@ -164,17 +187,20 @@ def missed(sets: DataFrame, stars: DataFrame, pairs: DataFrame, texts: DataFrame
     rooted = sets.select("set_key", "bands", "shingles").join(stars.withColumnRenamed("u", "set_key"), "set_key", "left").withColumn("root", F.coalesce("v", "set_key")).drop("v")
     members = _members(rooted, "root", "shingles").drop("next")
     parts = members.groupBy("i", "band", "root").agg(F.count(F.lit(1)).alias("part"))
-    split = parts.groupBy("i", "band").agg(F.sum("part").alias("size"), F.max(F.struct("part", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("parts"))
-    met = members.join(split.where(f"size > {ALL_PAIRS} and parts > 1").drop("parts"), ["i", "band"])
+    split = parts.groupBy("i", "band").agg(F.sum("part").alias("size"), F.max(F.struct("part", "root")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    split = split.where(f"size > {ALL_PAIRS} and parts > 1").select("i", "band", F.col("most.root").alias("largest"), F.ceil(F.col("size") / MEET).cast("int").alias("tasks"), F.ceil((F.col("size") - F.col("most.part")) / OUTSIDE).cast("int").alias("runs"))
+    met = members.join(split, ["i", "band"])
     met = met.withColumn("sketch", F.lit(b"")) if texts is None else met.join(_sketches(texts), "set_key")
-    tasks = F.ceil(F.col("size") / MEET).cast("int")
-    every = met.select("i", "band", F.pmod(F.xxhash64("set_key"), tasks).cast("int").alias("task"), "set_key", "root", "shingles", "sketch")
-    outside = met.where("root != largest").select("i", "band", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.col("set_key").alias("other"), F.col("root").alias("other_root"), F.col("shingles").alias("other_shingles"), F.col("sketch").alias("other_sketch"))
-    alike = F.least("shingles", "other_shingles") * LEAST[1] >= F.greatest("shingles", "other_shingles") * LEAST[0]
-    found = every.join(outside, ["i", "band", "task"]).where((F.col("root") != F.col("other_root")) & alike)
-    found = found.select(F.greatest("set_key", "other").alias("u"), F.least("set_key", "other").alias("v"), "i", F.col("sketch").alias("a"), F.col("other_sketch").alias("b"))
-    small_batches(sets.sparkSession)
-    new = found.mapInArrow(_possible, "u long, v long, i int").distinct().groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+    dealt = lambda n: F.pmod(F.xxhash64("set_key"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = met.withColumn("task", dealt("tasks")).withColumn("run", all_of("runs"))
+    outside = met.where("root != largest").withColumn("run", dealt("runs")).withColumn("task", all_of("tasks"))
+    cell = ["i", "band", "task", "run"]
+    columns = [*cell, "set_key", "root", "shingles", "sketch"]
+    # names of its own, since both sides are made of the same rows
+    others = outside.select(*[F.col(c).alias(f"other_{c}") for c in columns]).groupBy(*[f"other_{c}" for c in cell])
+    found = every.select(*columns).groupBy(*cell).cogroup(others).applyInArrow(_meeting, "u long, v long, i int")
+    new = found.distinct().groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
     return new.join(pairs.select("u", "v"), ["u", "v"], "left_anti")
 
 
@@ -223,6 +249,8 @@ def _links(pairs: DataFrame, texts: DataFrame, stars: DataFrame | None = None) -
         stars = connected(new if stars is None else stars.union(new))
         if k < ROUNDS:
             left = checkpointed(_between(left.select("u", "v", "n").join(chosen, ["u", "v"], "left_anti"), stars))
+        new = ends = None
+        collected(pairs.sparkSession)
     return stars
 
 
@@ -237,14 +265,18 @@ def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     rows = checkpointed(_sets(df, doc_id, text))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
     sets = checkpointed(rows.groupBy("set_key").agg(first, F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles")))
+    del rows
     pairs = checkpointed(candidates(sets))
+    collected(df.sparkSession)
     met = pairs.select(F.explode(F.array("u", "v")).alias("set_key")).distinct()
     # a table has a size that Spark knows: it is broadcast under spark.sql.autoBroadcastJoinThreshold, and beyond it texts are shuffled
     wanted = staged(sets.join(met, "set_key").select("set_key", F.col("first.doc_id").alias("of_id"), F.col("first.text_key").alias("of_key")))
     texts = df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     texts = checkpointed(texts.join(wanted, (F.col("key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of_id"))).select("set_key", "text").dropDuplicates(["set_key"]))
+    collected(df.sparkSession)
     stars = _links(pairs, texts)
     rest = checkpointed(missed(sets, stars, pairs, texts))
+    collected(df.sparkSession)
     if not rest.isEmpty():
         stars = _links(rest, texts, stars)
     labelled = sets.join(stars.withColumnRenamed("u", "set_key"), "set_key", "left").select("first", F.coalesce("v", "set_key").alias("root"))
