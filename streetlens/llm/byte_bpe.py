@@ -8,7 +8,8 @@ before), and each boundary list is followed until it meets one of the next chunk
 list. If the overlap has no common boundary (one very long pre-token), splitting goes
 on from the last sure boundary until one is met, so the result is exact for any text.
 A text of one chunk has nothing to stitch. Pieces are encoded by themselves, pairs of
-least rank merged first; frequent pieces come from a bounded table. Decoding
+least rank merged first, new pieces of some texts at once as arrays; frequent pieces come
+from a bounded table. Decoding
 concatenates the bytes of the ids.
 
 Ids are packed as little-endian unsigned 32-bit integers in a binary column
@@ -32,7 +33,8 @@ from streetlens.llm.common import map_slices, shuffle_partitions, slices, small_
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 9
-#: Pieces remembered in a Python worker; the table starts anew when full.
+#: Pieces remembered in a Python worker; the table starts anew when full. Those of the texts
+#: that are encoded together are in it while they are.
 REMEMBERED = 1 << 17
 #: The pattern's longest alternative that looks at a fixed text is three characters.
 LOOK_AHEAD = 3
@@ -40,6 +42,13 @@ LOOK_AHEAD = 3
 BASIC = 0xFFFF
 _BEHIND = re.compile("[\U00010000-\U0010ffff]")
 
+#: More than any rank.
+NO_PAIR = 1 << 40
+#: Pieces of texts that are looked up together, but for those of one text.
+TOGETHER = 1 << 16
+#: Pieces up to so many bytes are merged together, many at a time.
+SHORT_BYTES = 32
+
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -57,14 +66,100 @@ class _Pieces(dict):
         self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         packed = np.array(self.encode(piece.encode()), "<u4").tobytes()
-        if len(piece) <= 64:
+        if len(piece) <= 64 and len(self) < REMEMBERED:
             self[piece] = packed
         return packed
 
 
+class Pairs:
+    """The ranks of pairs of tokens, for arrays of them: a table with open addresses."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        keys, values = [], []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    values.append(rank)
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.values = np.full(len(self.keys), NO_PAIR, np.int64)
+        todo = np.array(keys, np.int64)
+        rank = np.array(values, np.int64)
+        at = self._place(todo)
+        while len(todo):
+            free = np.flatnonzero(self.keys[at] == -1)
+            slot, first = np.unique(at[free], return_index=True)
+            self.keys[slot], self.values[slot] = todo[free[first]], rank[free[first]]
+            left = self.keys[at] != todo
+            todo, rank, at = todo[left], rank[left], (at[left] + 1) & (len(self.keys) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """NO_PAIR where there is none."""
+        keys = left << 32 | right
+        at = self._place(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], NO_PAIR)
+        todo = np.flatnonzero((there != keys) & (there != -1))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[todo]]
+            met = there == keys[todo]
+            out[todo[met]] = self.values[at[todo[met]]]
+            todo = todo[~met & (there != -1)]
+        return out
+
+
+def merge_many(pieces: list[bytes], ones: np.ndarray, pairs: Pairs) -> list[bytes]:
+    """merge() of pieces of two bytes at least, all at once, as packed ids. ones: the ranks
+    of single bytes.
+
+    From the longest down: pieces of as many parts are rows of an array, of which each one
+    that still has a pair merges its pair of least rank, the first of equal ones, and is a
+    row of the next array, a part shorter."""
+    out: list[bytes] = [b""] * len(pieces)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    order = np.argsort(lengths, kind="stable")
+    ends = np.searchsorted(lengths[order], np.arange(int(lengths.max(initial=0)) + 2))
+    who, parts, rank = np.empty(0, np.int64), None, None
+    for n in range(len(ends) - 2, 0, -1):
+        new = order[ends[n] : ends[n + 1]]
+        if len(new):
+            fresh = ones[np.frombuffer(b"".join([pieces[i] for i in new.tolist()]), np.uint8)].reshape(len(new), n)
+            ranks = pairs.ranks(fresh[:, :-1].ravel(), fresh[:, 1:].ravel()).reshape(len(new), n - 1)
+            who, parts, rank = (np.concatenate([who, new]), np.concatenate([parts, fresh]), np.concatenate([rank, ranks])) if len(who) else (new, fresh, ranks)
+        if not len(who):
+            continue
+        row = np.arange(len(who))
+        at = rank.argmin(1) if n > 1 else np.zeros(len(who), np.int64)
+        least = rank[row, at] if n > 1 else np.full(len(who), NO_PAIR)
+        over = least == NO_PAIR
+        packed = parts[over].astype("<u4").tobytes()
+        for k, i in enumerate(who[over].tolist()):
+            out[i] = packed[4 * n * k : 4 * n * (k + 1)]
+        who, at, least, parts, rank = who[~over], at[~over], least[~over], parts[~over], rank[~over]
+        if not len(who):
+            continue
+        row = np.arange(len(who))
+        parts[row, at] = least
+        kept = np.ones(parts.shape, bool)
+        kept[row, at + 1] = False
+        parts = parts[kept].reshape(len(who), n - 1)
+        kept = np.ones(rank.shape, bool)
+        kept[row, at] = False
+        rank = rank[kept].reshape(len(who), n - 2)
+        right = np.flatnonzero(at < n - 2)
+        rank[right, at[right]] = pairs.ranks(least[right], parts[right, at[right] + 1])
+        left = np.flatnonzero(at > 0)
+        rank[left, at[left] - 1] = pairs.ranks(parts[left, at[left] - 1], least[left])
+    return out
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a piece: of all neighbours, the pair of least rank becomes one part, the
     first of equal ones, until no pair has a rank.
@@ -119,11 +214,54 @@ class Codec:
         # Python looks up classes of the basic plane in a table, but tries ranges behind it one by one
         self.basic_split = re.compile(_python_pattern(pattern, BASIC))
         self.pieces = _Pieces(lambda piece: merge(piece, ranks))
+        self.ranks = ranks
+        self.ones = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        self.pairs = Pairs(ranks)
 
     def split_of(self, text: str) -> re.Pattern:
         """The split for a text: ranges that none of its characters can be in are left out."""
         return self.split if not text.isascii() and _BEHIND.search(text) else self.basic_split
 
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces, those that are not remembered yet merged together."""
+        if self.ones.min() < 0:
+            return  # merge() tells of bytes without a rank
+        new = pieces.difference(self.pieces)
+        if len(self.pieces) + len(new) > REMEMBERED:
+            self.pieces.clear()
+            new = pieces
+        names, short = [], []
+        for piece in new:
+            coded = piece.encode()
+            whole = self.ranks.get(coded)
+            if whole is not None:
+                self.pieces[piece] = whole.to_bytes(4, "little")
+            elif len(coded) <= SHORT_BYTES:
+                names.append(piece)
+                short.append(coded)
+        self.pieces.update(zip(names, merge_many(short, self.ones, self.pairs), strict=True))
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, by the pieces of some texts at a time."""
+        out: list[bytes] = []
+        some: list[list[str]] = []
+        number = 0
+        for text in texts:
+            some.append(self.split_of(text).findall(text))
+            number += len(some[-1])
+            if number >= TOGETHER:
+                out += self._encoded(some)
+                some, number = [], 0
+        return out + self._encoded(some)
+
+    def encode_long(self, pieces: list[str]) -> bytes:
+        """The ids of a text's pieces, some of them at a time."""
+        return b"".join(self._encoded([pieces[at : at + TOGETHER]])[0] for at in range(0, len(pieces), TOGETHER))
+
+    def _encoded(self, texts: list[list[str]]) -> list[bytes]:
+        self.learn(set().union(*texts))
+        return [self.encode_pieces(pieces) for pieces in texts]
+
     def encode_pieces(self, pieces: list[str]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, pieces))
 
@@ -228,7 +366,7 @@ def encode(
         own = codec(path, pattern)
 
         def encode_slice(batch: pa.RecordBatch) -> dict:
-            ids = [own.encode_pieces(own.split_of(t).findall(t)) for t in batch.column(1).to_pylist()]
+            ids = own.encode_texts(batch.column(1).to_pylist())
             out = {"doc_id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
             return out | ({"decoded": [own.decode(x) for x in ids]} if decoded else {})
 
@@ -271,7 +409,7 @@ def encode(
         rows_in = sorted(zip(group["chunk"].to_pylist(), group["text"].to_pylist(), group["boundaries"].to_pylist(), strict=True), key=lambda r: r[0])
         whole = "".join(t[:chunk_chars] for _, t, _ in rows_in[:-1]) + rows_in[-1][1]
         ends = stitch(own.split_of(whole), whole, [np.frombuffer(b, "<i4").tolist() for _, _, b in rows_in], chunk_chars)
-        ids = own.encode_pieces([whole[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+        ids = own.encode_long([whole[a:b] for a, b in zip(ends, ends[1:], strict=False)])
         columns = [pa.array([group["doc_id"][0].as_py()], pa.int64()), pa.array([len(ids) // 4], pa.int64()), pa.array([ids], pa.binary())]
         if decoded:
             columns.append(pa.array([own.decode(ids)], pa.binary()))
