@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetlens.llm.common import given_back, id_crc, map_slices, small_batches
+from streetlens.sources.session import collected
 
 WINDOW = 32
 STRIDE = 24
@@ -282,7 +283,13 @@ class Scorer:
 
 def train(texts: list[str], toxic: list[int], *, seed: int = 5) -> Network:
     """The network, from whole texts and their labels. Without both labels it keeps its
-    start, with a bias by which nothing is toxic."""
+    start, with a bias by which nothing is toxic. What the driver took for it is given back."""
+    net = _trained(texts, toxic, seed)
+    given_back()
+    return net
+
+
+def _trained(texts: list[str], toxic: list[int], seed: int) -> Network:
     net = Network.start(seed)
     y_all = np.array(toxic, np.float32)
     if not len(y_all) or y_all.min() == y_all.max():
@@ -293,6 +300,7 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 5) -> Network:
     number: dict[str, int] = {}
     ids = [np.fromiter((number.setdefault(w, len(number)) for w in steps(t)), np.int32) for t in texts]
     vocabulary = list(number)
+    del number
     use = [i for i, x in enumerate(ids) if len(x)]
     ids, y_all = [ids[i] for i in use], y_all[use]
     rows, grams = _features(vocabulary)
@@ -303,6 +311,7 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 5) -> Network:
     firsts = np.cumsum(counts) - counts
     flat = np.concatenate(cut)
     speaks = np.where(flat >= 0, evidence[flat], -1e9).max(axis=1)
+    given_back()
 
     dense = {k: [np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))] for k in Network.DENSE}
     seen_words, seen_grams = np.full(WORD_ROWS, 1e-4, np.float32), np.full(GRAM_ROWS, 1e-4, np.float32)
@@ -316,6 +325,7 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 5) -> Network:
                 table[i : i + 20_000] = net.inputs(vocabulary[i : i + 20_000])
             speaks = net.windows_logit(table, flat)
             del table
+            given_back()
         hard = np.array([f + np.argmax(speaks[f : f + n]) for f, n in zip(firsts, counts, strict=True)])
         random = firsts + (rng.random(len(counts)) * counts).astype(np.int64)
         chosen = np.concatenate([hard, random[y_all == 0]])
@@ -446,6 +456,7 @@ def training_rows(
     nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id", "text"), "id", "text"))
     bound = F.when(F.col("toxic") == 1, F.lit(toxic)).otherwise(F.lit(clean))
     found = sorted(rows.distinct().withColumn("nth", nth).where(F.col("nth") <= bound).select("id", "text", "toxic").collect(), key=lambda r: (r[0], r[1]))
+    collected(df.sparkSession)  # Spark's side of the driver is idle, and small, while the network is trained
     return [r[1] for r in found], [r[2] for r in found]
 
 
