@@ -109,9 +109,13 @@ def word_features(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray,
     return rows.astype(np.int64) % WORD_ROWS, grams
 
 
-def _features(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def _features(words: list[str], at_once: int = 4000) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """word_features of many words, in parts, since its intermediate arrays are large."""
-    parts = [word_features(words[i : i + at_once]) for i in range(0, len(words), at_once)]
+    kind = np.uint16 if GRAM_ROWS <= 1 << 16 else np.int32
+    parts = []
+    for i in range(0, len(words), at_once):
+        rows, grams = word_features(words[i : i + at_once])
+        parts.append((rows, [(at.astype(kind), each) for at, each in grams]))
     return np.concatenate([p[0] for p in parts]), [tuple(np.concatenate([p[1][g][side] for p in parts]) for side in (0, 1)) for g in range(len(GRAMS))]
 
 
@@ -310,7 +314,8 @@ def _trained(texts: list[str], toxic: list[int], seed: int) -> Network:
     counts = np.array([len(c) for c in cut])
     firsts = np.cumsum(counts) - counts
     flat = np.concatenate(cut)
-    speaks = np.where(flat >= 0, evidence[flat], -1e9).max(axis=1)
+    speaks = np.concatenate([np.where(part >= 0, evidence[part], -1e9).max(axis=1) for part in np.array_split(flat, -(-len(flat) // SCORED))])
+    del ids, cut, evidence
     given_back()
 
     dense = {k: [np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))] for k in Network.DENSE}
@@ -321,8 +326,8 @@ def _trained(texts: list[str], toxic: list[int], seed: int) -> Network:
     for epoch in range(epochs):
         if epoch in choosing:  # from here on the network chooses
             table = np.empty((len(vocabulary), 6 * HIDDEN), np.float16)
-            for i in range(0, len(vocabulary), 20_000):
-                table[i : i + 20_000] = net.inputs(vocabulary[i : i + 20_000])
+            for i in range(0, len(vocabulary), 4000):
+                table[i : i + 4000] = net.inputs(vocabulary[i : i + 4000])
             speaks = net.windows_logit(table, flat)
             del table
             given_back()

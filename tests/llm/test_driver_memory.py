@@ -31,3 +31,11 @@ def test_spark_s_side_is_small_while_a_network_is_trained(spark, sf, monkeypatch
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     texts, labels = toxicity.training_rows(docs, labels.select("doc_id", "toxic"))
     assert len(texts) == len(labels) and cleaned == [spark]
+
+
+def test_rows_of_n_grams_take_two_bytes():
+    words = ["alpha", "beta", "gamma-delta", "日本語のテキスト"] * 3
+    rows, grams = toxicity._features(words, at_once=5)
+    want_rows, want = toxicity.word_features(words)
+    assert (rows == want_rows).all() and all(at.itemsize == 2 for at, _ in grams)
+    assert all((a == x).all() and (b == y).all() for (a, b), (x, y) in zip(grams, want, strict=True))
