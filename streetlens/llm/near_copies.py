@@ -236,20 +236,26 @@ def _between(pairs: DataFrame, stars: DataFrame) -> DataFrame:
     return rooted.select("u", "v", "n", F.coalesce("ru", "u").alias("cu"), F.coalesce("rv", "v").alias("cv")).where("cu != cv")
 
 
+def _likeliest(left: DataFrame) -> DataFrame:
+    """Of pairs (u, v, n, cu, cv) those (u, v) that are the likeliest of a component. Each end
+    is summed up by itself, so that a pair makes no rows."""
+    ends = [left.groupBy(F.col(c).alias("c")).agg(F.max(F.struct("n", "u", "v")).alias("best")) for c in ("cu", "cv")]
+    return ends[0].unionByName(ends[1]).groupBy("c").agg(F.max("best").alias("best")).select("best.u", "best.v").distinct()
+
+
 def _links(pairs: DataFrame, texts: DataFrame, stars: DataFrame | None = None) -> DataFrame:
     """Stars (u, v) of the sets that similar pairs form, and stars found before."""
-    left = pairs.withColumns({"cu": F.col("u"), "cv": F.col("v")}) if stars is None else _between(pairs, stars)
+    left = pairs.withColumns({"cu": F.col("u"), "cv": F.col("v")}) if stars is None else checkpointed(_between(pairs, stars))
     for k in range(ROUNDS + 1):
         chosen = left.select("u", "v")
         if k < ROUNDS:
-            ends = left.select("u", "v", "n", F.explode(F.array("cu", "cv")).alias("c"))
-            chosen = ends.groupBy("c").agg(F.max(F.struct("n", "u", "v")).alias("best")).select("best.u", "best.v").distinct()
+            chosen = _likeliest(left)
         chosen = checkpointed(chosen)
         new = checkpointed(checked(chosen, texts))
         stars = connected(new if stars is None else stars.union(new))
         if k < ROUNDS:
             left = checkpointed(_between(left.select("u", "v", "n").join(chosen, ["u", "v"], "left_anti"), stars))
-        new = ends = None
+        new = None
         collected(pairs.sparkSession)
     return stars
 

@@ -49,3 +49,16 @@ def test_pairs_of_a_large_band_are_not_joined(spark):
     found = near_copies.missed(sets, none.select("u", "v"), none, texts)
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString() and found.count() == 0
     assert near_copies.missed(sets, none.select("u", "v"), none).count() == n * (n - 1) // 2
+
+
+def test_likeliest_pairs_make_no_row_for_each_end(spark):
+    rng = np.random.default_rng(9)
+    pairs = sorted({(int(max(a, b)), int(min(a, b))) for a, b in rng.integers(0, 60, (400, 2)) if a != b})
+    rows = [(u, v, int(n), u % 11, v % 11) for (u, v), n in zip(pairs, rng.integers(1, 21, len(pairs)), strict=True) if u % 11 != v % 11]
+    best: dict[int, tuple] = {}
+    for u, v, n, cu, cv in rows:
+        for c in (cu, cv):
+            best[c] = max(best.get(c, (0,)), (n, u, v))
+    found = near_copies._likeliest(spark.createDataFrame(rows, "u long, v long, n long, cu long, cv long"))
+    assert sorted(map(tuple, found.collect())) == sorted({(u, v) for _, u, v in best.values()})
+    assert "Generate" not in found._jdf.queryExecution().toString()
